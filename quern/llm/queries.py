@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from quern.llm.neardup import op4_minhash_neardup
+from quern.llm.packing import op1_best_fit_packing
+from quern.llm.tokentable import op7_token_output
 from quern.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op7_token_output": op7_token_output,
     "op4_minhash_neardup": op4_minhash_neardup,
     "op10_toxicity": op10_toxicity,
 }
