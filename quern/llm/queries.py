@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from quern.llm.mixing import op8_source_mixing
 from quern.llm.neardup import op4_minhash_neardup
 from quern.llm.packing import op1_best_fit_packing
 from quern.llm.tokentable import op7_token_output
 from quern.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op8_source_mixing": op8_source_mixing,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_token_output": op7_token_output,
     "op4_minhash_neardup": op4_minhash_neardup,
