@@ -7,8 +7,10 @@ from quern.llm.neardup import op4_minhash_neardup
 from quern.llm.packing import op1_best_fit_packing
 from quern.llm.tokentable import op7_token_output
 from quern.llm.toxicity import op10_toxicity
+from quern.llm.warc import OP5_SQL, op5_warc_reader
 
 QUERIES = {
+    "op5_warc_reader": op5_warc_reader,
     "op8_source_mixing": op8_source_mixing,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_token_output": op7_token_output,
@@ -16,4 +18,6 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_reader": OP5_SQL,
+}
