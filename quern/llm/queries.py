@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.llm.linededup import OP6_SQL, op6_line_dedup
 from quern.llm.mixing import op8_source_mixing
 from quern.llm.neardup import op4_minhash_neardup
 from quern.llm.packing import op1_best_fit_packing
@@ -10,6 +11,7 @@ from quern.llm.toxicity import op10_toxicity
 from quern.llm.warc import OP5_SQL, op5_warc_reader
 
 QUERIES = {
+    "op6_line_dedup": op6_line_dedup,
     "op5_warc_reader": op5_warc_reader,
     "op8_source_mixing": op8_source_mixing,
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -20,4 +22,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_warc_reader": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
 }
