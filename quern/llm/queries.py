@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.llm.fingerprints import op2_fingerprints
 from quern.llm.linededup import OP6_SQL, op6_line_dedup
 from quern.llm.mixing import op8_source_mixing
 from quern.llm.neardup import op4_minhash_neardup
@@ -11,6 +12,7 @@ from quern.llm.toxicity import op10_toxicity
 from quern.llm.warc import OP5_SQL, op5_warc_reader
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
     "op6_line_dedup": op6_line_dedup,
     "op5_warc_reader": op5_warc_reader,
     "op8_source_mixing": op8_source_mixing,
