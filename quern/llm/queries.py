@@ -7,11 +7,13 @@ from quern.llm.linededup import OP6_SQL, op6_line_dedup
 from quern.llm.mixing import op8_source_mixing
 from quern.llm.neardup import op4_minhash_neardup
 from quern.llm.packing import op1_best_fit_packing
+from quern.llm.secretscan import op9_secret_scan
 from quern.llm.tokentable import op7_token_output
 from quern.llm.toxicity import op10_toxicity
 from quern.llm.warc import OP5_SQL, op5_warc_reader
 
 QUERIES = {
+    "op9_secret_scan": op9_secret_scan,
     "op2_fingerprints": op2_fingerprints,
     "op6_line_dedup": op6_line_dedup,
     "op5_warc_reader": op5_warc_reader,
