@@ -27,6 +27,8 @@ SLOTS, STREAM_BLOCKS = 1024, 2048
 #: Without given weights a source's is its tokens to this power.
 FLATTEN = 0.5
 SEED = 17
+#: A table of so many sources may be sent to all workers.
+BROADCAST_SOURCES = 1 << 16
 
 _TOKENS = "source string, doc_id long, lang string, n long, ids binary"
 _U = np.uint64
@@ -153,9 +155,12 @@ def mixed(
     table = written(_encoded(src, vocabulary), "mixing", "zstd")
 
     # streams: so many of a source as make about stream_blocks blocks each
-    total = table.groupBy("source").agg(F.sum("n").alias("total"))
+    total = written(table.groupBy("source").agg(F.sum("n").alias("total")), "sources")
     streams = F.greatest(F.lit(1), F.ceil(F.col("total") / (stream_blocks * block))).cast("long")
-    table = table.join(total.withColumn("streams", streams).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    looked_up = total.select(F.col("source").alias("of"), streams.alias("streams"))
+    if total.count() <= BROADCAST_SOURCES:  # else a join by source, in which no source is likely to be most of the corpus
+        looked_up = F.broadcast(looked_up)
+    table = table.join(looked_up, F.col("source").eqNullSafe(F.col("of")))
     table = table.withColumn("stream", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long"))), F.col("streams")))
     size = table.groupBy("source", "stream").agg(F.expr(f"(sum(n) + {block - 1}) div {block}").alias("blocks"), F.sum("n").alias("total"))
     by_source = Window.partitionBy("source").orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
