@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import corpora, texts  # noqa: F401
+from quern.plans import corpora, payloads, texts  # noqa: F401
 from quern.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

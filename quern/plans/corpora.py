@@ -131,7 +131,7 @@ def _visual(t, target=0):
     return d.crossJoin(q).select("vec_id", evidence.similarity(F.col("h"), F.col("qh"), F.col("g"), F.col("qg")).alias("visual_score"))
 
 
-_VISUAL = """d AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS h, list_transform(embedding[1:48], lambda x: least(255, greatest(0, CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS INTEGER)))) AS g FROM embeddings),
+_VISUAL = """emb AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS h, list_transform(embedding[1:48], lambda x: least(255, greatest(0, CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS INTEGER)))) AS g FROM embeddings),
 visual AS (SELECT d.vec_id, round(0.65e0 * (1 - len(list_filter(list_zip(d.h, q.h), lambda x: x[1] <> x[2])) / 64e0) + 0.35e0 * (1 - list_sum(list_transform(list_zip(d.g, q.g), lambda x: abs(x[1] - x[2]))) / (48e0 * 255)), 10) AS visual_score FROM emb d, emb q WHERE q.vec_id = 0)"""
 
 
@@ -157,10 +157,10 @@ look AS (SELECT min_by(evidence_id, char_start) AS evidence_id, visual_score FRO
 a AS (SELECT evidence_id, text_score, row_number() OVER (ORDER BY text_score DESC, evidence_id) AS p FROM score JOIN unit USING (evidence_id) JOIN ok USING (asset_id)),
 b AS (SELECT evidence_id, visual_score, row_number() OVER (ORDER BY visual_score DESC, evidence_id) AS p FROM look JOIN unit USING (evidence_id) JOIN ok USING (asset_id)),
 f AS (SELECT evidence_id, round(coalesce(1e0 / (60 + a.p), 0) + coalesce(1e0 / (60 + b.p), 0), 10) AS fused_score, text_score, visual_score FROM a FULL JOIN b USING (evidence_id)),
-c AS (SELECT f.*, unit.asset_id, char_start, char_stop, unit.text, content_hash, safe_source_url, access_class, sha256, row_number() OVER (PARTITION BY safe_source_url ORDER BY fused_score DESC, evidence_id) AS k FROM f JOIN unit USING (evidence_id) JOIN ok USING (asset_id))
+best AS (SELECT f.*, unit.asset_id, char_start, char_stop, unit.text, content_hash, safe_source_url, access_class, sha256, row_number() OVER (PARTITION BY safe_source_url ORDER BY fused_score DESC, evidence_id) AS k FROM f JOIN unit USING (evidence_id) JOIN ok USING (asset_id))
 SELECT CAST(row_number() OVER (ORDER BY fused_score DESC, evidence_id) AS INTEGER) AS rank, evidence_id, asset_id, fused_score, text_score, visual_score, concat_ws('+', CASE WHEN text_score IS NOT NULL THEN 'text' END, CASE WHEN visual_score IS NOT NULL THEN 'visual' END) AS matched_modalities, '' AS title,
   substr({_FLAT}, CASE WHEN instr(lower({_FLAT}), 'heat') > 81 THEN instr(lower({_FLAT}), 'heat') - 80 ELSE 1 END, 360) AS snippet, char_start, char_stop, safe_source_url, access_class, sha256 AS source_sha256, content_hash AS evidence_sha256
-FROM c WHERE k <= 3 ORDER BY rank LIMIT 10""")
+FROM best WHERE k <= 3 ORDER BY rank LIMIT 10""")
 def evidence_citations(spark, t):
     """Cited search by text and image: chunks, index, filters, ranks, fusion, caps and citations."""
     a = _assets(t)
