@@ -178,7 +178,8 @@ def mixed(
     coarse = stream_blocks // 2 or 1
     where = size.join(F.broadcast(number), size["source"].eqNullSafe(number["source"])).select("k", size["source"], "stream", "start", (F.col("start") + F.col("blocks")).alias("stop"))
     where = where.withColumn("near", F.explode(F.sequence(F.expr(f"start div {coarse}"), F.expr(f"(stop - 1) div {coarse}"))))
-    slot = slot.withColumn("near", F.expr(f"block div {coarse}")).join(where, ["k", "near"]).where("block >= start and block < stop")
+    # Catalyst takes the slots for as few as the shards they are drawn in, and would broadcast them
+    slot = slot.withColumn("near", F.expr(f"block div {coarse}")).hint("merge").join(where, ["k", "near"]).where("block >= start and block < stop")
     slot = slot.select("source", "stream", (F.col("block") - F.col("start")).alias("own"), "block", "shard", "slot", "epoch")
 
     def fill(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
