@@ -239,7 +239,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Rows that share an id stay or go together; rows without an id stay.
     """
     gone = near_duplicates(docs, id_col, text_col, threshold).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
 
 
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
