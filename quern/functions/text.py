@@ -58,6 +58,11 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(WORD), F.lit(0))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def chunks(text: Column | str, size: int = 1600, overlap: int = 200) -> Column:
     """Overlapping chunks as array<struct<start, stop, text>>, in characters.
 
@@ -75,22 +80,27 @@ def chunks(text: Column | str, size: int = 1600, overlap: int = 200) -> Column:
     def step(acc: Column, _: Column) -> Column:
         start = acc["next"]
         limit = F.least(n, start + size)
+
+        def cut(tail: Column) -> Column:
+            blank, line = F.instr(tail, " "), F.instr(tail, "\n\n")
+            return F.greatest(F.when(blank > 0, limit - blank).otherwise(-1), F.when(line > 0, limit - line - 1).otherwise(-1))
+
+        def more(end: Column) -> Column:
+            return F.struct(F.greatest(start + 1, end - overlap).cast("int").alias("next"), (end >= n).alias("done"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("a"), end.cast("int").alias("b")))).alias("out"))
+
         tail = F.reverse(F.substring(t, start + half + 1, limit - start - half))
-        blank, line = F.instr(tail, " "), F.instr(tail, "\n\n")
-        cut = F.greatest(F.when(blank > 0, limit - blank).otherwise(-1), F.when(line > 0, limit - line - 1).otherwise(-1))
-        end = F.when((limit < n) & (cut > start), cut).otherwise(limit)
-        more = F.struct(F.greatest(start + 1, end - overlap).cast("int").alias("next"), (end >= n).alias("done"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("a"), end.cast("int").alias("b")))).alias("out"))
-        return F.when(acc["done"] | (start >= n), acc).otherwise(more)
+        at = F.when(limit < n, _let(_let(tail, cut), lambda c: F.when(c > start, c).otherwise(limit))).otherwise(limit)
+        return F.when(acc["done"] | (start >= n), acc).otherwise(_let(at, more))
 
     zero = F.struct(F.lit(0).alias("next"), F.lit(False).alias("done"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("out"))
     raw = F.aggregate(steps, zero, step)["out"]
 
     def trimmed(x: Column) -> Column:
-        part = F.substring(t, x["a"] + 1, x["b"] - x["a"])
-        lead = F.length(part) - F.length(F.regexp_replace(part, rf"^{_WS}+", ""))
-        body = strip(part)
-        start = x["a"] + lead
-        return F.struct(start.alias("start"), (start + F.length(body)).alias("stop"), body.alias("text"))
+        def whole(part: Column) -> Column:
+            lead = F.length(part) - F.length(F.regexp_replace(part, rf"^{_WS}+", ""))
+            return _let(strip(part), lambda body: _let(x["a"] + lead, lambda start: F.struct(start.alias("start"), (start + F.length(body)).alias("stop"), body.alias("text"))))
+
+        return _let(F.substring(t, x["a"] + 1, x["b"] - x["a"]), whole)
 
     return F.filter(F.transform(raw, trimmed), lambda x: x["text"] != "")
 
@@ -148,7 +158,7 @@ def vtt_lines(c: Column | str) -> Column:
 def adjacent_distinct(lines: Column) -> Column:
     """Array without elements that equal the one before."""
     # the outer lambda binds the array, which else would be computed again for each element
-    return F.element_at(F.transform(F.array(lines), lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.coalesce(F.get(v, i - 1), F.lit(""))))), 1)
+    return _let(lines, lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.coalesce(F.get(v, i - 1), F.lit("")))))
 
 
 def vtt_to_text(c: Column | str) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import ids, text
+from quern.operators.shared import written
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -198,6 +199,7 @@ def violations(u: DataFrame, assets: DataFrame, bodies: DataFrame, size: int = 1
     out.append(assets.join(real, "asset_id", "left").where(~F.col("sha256").eqNullSafe(F.col("real"))).select(F.lit("asset-bytes"), "asset_id"))
     names = ["evidence_id", "asset_id", "char_start", "char_stop", "content_hash"]
     anew = units(bodies.join(assets.where("tombstoned_at is null").select("asset_id"), "asset_id", "left_semi"), size, overlap).select(names)
+    anew = written(anew, "derived")
     out.append(anew.exceptAll(u.select(names)).select(F.lit("evidence-missing"), "evidence_id"))
     out.append(u.select(names).exceptAll(anew).select(F.lit("evidence-not-derived"), "evidence_id"))
     first = out[0]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import urls
 from quern.functions.exact import resolve_canonical
+from quern.operators.shared import written
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ def frontier(seeds: DataFrame, pages: DataFrame, policy: CrawlPolicy = CrawlPoli
     entry = seeds.select("seed", F.col("seed").alias("canonical_url"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"), F.lit(None).cast("string").alias("skip_reason"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("taken"))
     entry = entry.where("seed is not null").distinct()
     known = pages.select(F.col("url").alias("canonical_url"), "links").dropDuplicates(["canonical_url"])
-    done = _kept(entry)
+    done = written(entry, "frontier")
     level = done
     for depth in range(policy.max_depth + 1):
         fetch = level.where(f"skip_reason is null and taken < {policy.max_pages}").join(known, "canonical_url")
@@ -76,7 +77,7 @@ def frontier(seeds: DataFrame, pages: DataFrame, policy: CrawlPolicy = CrawlPoli
         new = new.withColumn("skip_reason", skip_reason(policy, robots))
         new = new.withColumn("seq", (F.col("nth") + F.col("entries") - 1).cast("long"))
         taken = F.col("queued") + F.count_if(F.col("skip_reason").isNull()).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-        level = _kept(new.withColumn("taken", F.coalesce(taken, F.col("queued")).cast("long")).select(*done.columns))
+        level = written(new.withColumn("taken", F.coalesce(taken, F.col("queued")).cast("long")).select(*done.columns), "frontier")
         if level.isEmpty():
             break
         done = done.unionByName(level)
@@ -85,21 +86,6 @@ def frontier(seeds: DataFrame, pages: DataFrame, policy: CrawlPolicy = CrawlPoli
     return done.join(there, "canonical_url", "left").withColumn("status", status).select(*ENTRY)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A level written to the session's checkpoint folder, which all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            base = "file://" + tempfile.mkdtemp(prefix="quern-")
-        sc.setCheckpointDir(base)
-    return df.checkpoint()
-
-
 def events(entries: DataFrame) -> DataFrame:
     """(seed, canonical_url, event_index, status): the append-only ledger of the entries: each one's discovery, and for fetched ones the start and the end."""
     fetched = F.col("status").isin("done", "failed")

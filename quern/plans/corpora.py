@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import ids, text, urls
 from quern.operators import assets as blobs
 from quern.operators import evidence, frontier, policy, records
+from quern.operators.shared import written
 from quern.plans.registry import collapsed, query, stripped
 
 QUERY = "heat from the token"
@@ -164,7 +165,7 @@ FROM best WHERE k <= 3 ORDER BY rank LIMIT 10""")
 def evidence_citations(spark, t):
     """Cited search by text and image: chunks, index, filters, ranks, fusion, caps and citations."""
     a = _assets(t)
-    u = evidence.units(a)
+    u = written(evidence.units(a), "units")  # the index is built once, then queried
     look = _visual(t).join(u.groupBy("asset_id").agg(F.min_by("evidence_id", "char_start").alias("evidence_id")), F.concat(F.lit("asset-"), F.col("vec_id").cast("string")) == F.col("asset_id")).select("evidence_id", "visual_score")
     return evidence.citations(u, a, QUERY, look, access_classes=["public", "owned", "licensed", "unknown", "paid-personal"])
 
@@ -175,14 +176,14 @@ SELECT (SELECT count(*) FROM asset) AS assets, (SELECT count(*) FROM unit) AS ev
 def index_manifest(spark, t):
     """Counts, content hash and id of the whole index."""
     a = _assets(t)
-    return evidence.manifest(evidence.units(a), a)
+    return evidence.manifest(written(evidence.units(a), "units"), a)
 
 
 @query("SELECT doc_id, rule FROM (SELECT doc_id, 'asset-bytes' AS rule FROM documents WHERE doc_id % 50 = 7 UNION ALL SELECT doc_id, 'content-hash' FROM documents WHERE doc_id % 50 = 9 AND length(regexp_replace(text, '\\s', '', 'g')) > 0 UNION ALL SELECT doc_id, 'evidence-without-asset' FROM documents WHERE doc_id % 50 = 11 AND length(regexp_replace(text, '\\s', '', 'g')) > 0) WHERE doc_id % 97 <> 0")
 def verify_index(spark, t):
     """Rules that an index breaks in which some assets, hashes and references were tampered with, by document."""
     a = _assets(t).where("doc_id % 97 <> 0")
-    u = evidence.units(a)
+    u = written(evidence.units(a), "units")
     n = F.substring_index("asset_id", "-", -1).cast("long")
     bad = u.withColumn("content_hash", F.when(n % 50 == 9, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")))
     kept = a.withColumn("sha256", F.when(F.col("doc_id") % 50 == 7, F.sha2("sha256", 256)).otherwise(F.col("sha256"))).where("doc_id % 50 <> 11")
