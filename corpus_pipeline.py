@@ -11,6 +11,9 @@ from quern.llm.packing import packed
 from quern.llm.toxicity import without_toxic
 from quern.llm.work import new_folder
 
+#: Tokens of a block, so that eight of them, with the ends and joints that encoding them again adds, fill the largest sequence.
+BLOCK = 1000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a network fitted on ``labels`` doesn't find toxic."""
@@ -29,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of tokens drawn to weights that flatten the sources' sizes; each block is a document from here on."""
-    return mixed_documents(docs)
+    return mixed_documents(docs, block=BLOCK)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
