@@ -43,10 +43,11 @@ def target_identity(target: Column | str) -> Column:
 
 
 def ascii_escaped(json: Column) -> Column:
-    """JSON text with characters beyond ASCII written as escapes; pure ASCII stays in generated code."""
+    """JSON text with characters beyond ASCII written as escapes; pure ASCII isn't sent to Python."""
     from quern.functions.exact import json_ascii
 
-    return F.when(json.rlike(r"[^\x00-\x7f]"), json_ascii(json)).otherwise(json)
+    wide = json.rlike(r"[^\x00-\x7f]")
+    return F.when(wide, json_ascii(F.when(wide, json))).otherwise(json)
 
 
 def fingerprint(spec: dict[str, Column]) -> Column:

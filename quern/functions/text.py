@@ -1,4 +1,4 @@
-"""Text functions as Column expressions; all stay in generated code but for the exact forms in ``exact``."""
+"""Text functions as Column expressions; only ``redact`` may call on Python, for texts with URLs."""
 
 from __future__ import annotations
 
@@ -127,11 +127,12 @@ def redact_secrets(c: Column | str) -> Column:
 
 
 def redact(c: Column | str) -> Column:
-    """``redact_secrets`` after every URL in the text was made safe; text without a URL never leaves generated code."""
+    """``redact_secrets`` after every URL in the text was made safe; of texts without a URL only a null goes to Python."""
     from quern.functions.exact import sanitize_urls_in_text
 
     c = col(c)
-    return redact_secrets(F.when(c.rlike("(?i)https?://"), sanitize_urls_in_text(c)).otherwise(c))
+    has = c.rlike("(?i)https?://")
+    return redact_secrets(F.when(has, sanitize_urls_in_text(F.when(has, c))).otherwise(c))
 
 
 _KEYS = (r"sk-[\w-]{20,}", r"gh[opsru]_[A-Za-z0-9]{20,}", "AKIA[A-Z0-9]{16}", r"eyJ[\w-]{8,}(?:\.[\w-]{8,}){2}")

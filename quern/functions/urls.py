@@ -1,4 +1,8 @@
-"""URL functions. The common case stays in generated code; escapes and nested URLs go to ``exact``."""
+"""URL functions. The common case is generated code; only URLs with escapes or nested URLs are handed to ``exact``.
+
+Spark computes a Python function for all rows, whatever condition stands around it, so the functions get a null for
+rows that don't need them.
+"""
 
 from __future__ import annotations
 
@@ -83,7 +87,7 @@ def sanitize(url: Column | str) -> Column:
 
     kept = F.array_join(F.transform(F.filter(_pairs(url), lambda x: ~sensitive_key(_key(x))), _with_value), "&")
     quick = _join(scheme(url), F.lower(part(url, "HOST")), port(url), part(url, "PATH"), kept)
-    return F.when(plain(url), quick).otherwise(sanitize_url(col(url)))
+    return F.when(plain(url), quick).otherwise(sanitize_url(F.when(~plain(url), col(url))))
 
 
 def canonicalize(url: Column | str, tracking: tuple[str, ...] = TRACKING) -> Column:
@@ -97,7 +101,7 @@ def canonicalize(url: Column | str, tracking: tuple[str, ...] = TRACKING) -> Col
     s, p = scheme(url), port(url)
     p = F.when(((s == "http") & (p == 80)) | ((s == "https") & (p == 443)), F.lit(None)).otherwise(p)
     quick = F.when(safety_reason(url).isNull(), _join(s, host(url), p, part(url, "PATH"), query))
-    return F.when(plain(url), quick).otherwise(canonical_url(col(url), F.array(*(F.lit(t) for t in drop))))
+    return F.when(plain(url), quick).otherwise(canonical_url(F.when(~plain(url), col(url)), F.array(*(F.lit(t) for t in drop))))
 
 
 def origin(url: Column | str) -> Column:
@@ -122,7 +126,7 @@ def safety_reason(url: Column | str) -> Column:
         .when(F.coalesce(h, F.lit("")) == "", "host")
         .when((p <= 0) | (p > 65535), "port")
         .when(_blocked(h), "blocked-host")
-        .when(F.when(literal, ~F.coalesce(address_is_global(h), F.lit(True))).otherwise(False), "address")
+        .when(F.when(literal, ~F.coalesce(address_is_global(F.when(literal, h)), F.lit(True))).otherwise(False), "address")
         .when(has_userinfo(url), "userinfo")
         .when(F.size(sensitive_query_keys(url)) > 0, "sensitive-query")
     )

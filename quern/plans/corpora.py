@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import ids, text, urls
 from quern.operators import assets as blobs
-from quern.operators import evidence, frontier, policy, records
+from quern.operators import evidence, frontier, policy, receipts, records
 from quern.operators.shared import written
 from quern.plans.registry import collapsed, query, stripped
 
@@ -310,6 +310,25 @@ def frontier_status_rollup(spark, t):
     return frontier.latest_status(frontier.events(_entries(t))).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_FRONTIER}, r AS (SELECT seed, left(sha256(seed), 16) AS run_id, count(*) FILTER (WHERE status = 'failed') AS failed, bool_or(status = 'queued') AS pending, length(seed) % 4 AS k FROM entry GROUP BY seed)
+SELECT run_id, unnest(list_filter([CASE WHEN k = 1 AND failed > 0 THEN 'status' END, CASE WHEN k = 2 THEN 'count-written' END, CASE WHEN k = 3 AND pending THEN 'exhausted-but-pending' END], lambda x: x IS NOT NULL)) AS rule FROM r""")
+def verify_site_receipts(spark, t):
+    """Rules that receipts of the crawls break after some were changed: by a status, a count, or a flag."""
+    e = written(_entries(t), "entries").withColumn("run_id", F.substring(F.sha2("seed", 256), 1, 16))
+    fetched = e.where("status in ('done', 'failed')")
+    digest = F.when(F.col("status") == "done", F.sha2("canonical_url", 256))
+    pages = fetched.select("run_id", F.col("canonical_url").alias("url"), "depth", F.when(F.col("status") == "done", "written").otherwise("failed").alias("outcome"), F.concat(F.lit("web/"), digest, F.lit(".md")).alias("path"), digest.alias("record_hash"))
+    ledger = frontier.events(e.drop("run_id")).withColumn("run_id", F.substring(F.sha2("seed", 256), 1, 16)).join(e.select("run_id", "canonical_url", "skip_reason"), ["run_id", "canonical_url"])
+    k = F.length("seed") % 4
+    n = lambda s: F.count_if(F.col("status") == s)
+    runs = e.groupBy("run_id", "seed").agg(n("done").alias("done"), n("failed").alias("failed"), n("queued").alias("waiting"))
+    runs = runs.select(
+        "run_id", "seed", F.lit("2026-01-01T00:00:00Z").alias("created_at"), F.when((F.col("failed") == 0) | (k == 1), "complete").otherwise("partial").alias("status"), (F.col("done") + F.when(k == 2, 1).otherwise(0)).alias("written"), F.lit(0).alias("duplicates"), F.lit(0).alias("empty"), "failed",
+        F.col("done").alias("fetched_pages"), F.lit(0).alias("total_bytes"), ((F.col("waiting") == 0) | (k == 3)).alias("frontier_exhausted"), ((F.col("waiting") > 0) & (k != 3)).alias("page_limit_reached"),
+    )
+    return receipts.site_faults(runs, pages, ledger, pages.select("path", "record_hash").where("path is not null").distinct())
+
+
 @query("""WITH RECURSIVE p AS (SELECT page_id % 10 AS site, page_id, octet_length(encode(html)) AS size, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS k FROM pages), f AS (
   SELECT site, 0 AS k, CAST(NULL AS BIGINT) AS page_id, CAST(NULL AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS outcome, CAST(0 AS BIGINT) AS spent FROM p WHERE k = 1
   UNION ALL SELECT p.site, CAST(p.k AS INTEGER), p.page_id, p.size, CASE WHEN f.spent >= 100000 THEN 'exhausted' WHEN p.size <= 9000 AND p.size <= 100000 - f.spent THEN 'fetched' ELSE 'too_large' END, CASE WHEN f.spent < 100000 AND p.size <= 9000 AND p.size <= 100000 - f.spent THEN f.spent + p.size ELSE f.spent END FROM f JOIN p ON p.site = f.site AND p.k = f.k + 1)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quern.operators import assets, evidence, frontier, policy, records
+from quern.operators import assets, evidence, frontier, policy, receipts, records
 from quern.plans import payloads
 from quern.sources import files
 from quern.streaming import records as streams
@@ -109,6 +109,35 @@ def test_assets(spark):
     assert {tuple(r) for r in assets.difference(a.select("id"), b.select("id")).collect()} == {("1", "left"), ("3", "right")}
 
 
+def test_site_receipts(spark):
+    run = ("0" * 16, "2026-01-01T00:00:00Z", "https://e.example/", "complete", 1, 0, 0, 0, 1, 10, True, False)
+    cols = "run_id string, created_at string, seed string, status string, written int, duplicates int, empty int, failed int, fetched_pages int, total_bytes int, frontier_exhausted boolean, page_limit_reached boolean"
+    pages = spark.createDataFrame([("0" * 16, "https://e.example/", 0, "written", "web/a.md", "a" * 64)], "run_id string, url string, depth int, outcome string, path string, record_hash string")
+    events = spark.createDataFrame([("0" * 16, 0, "https://e.example/", "queued", None), ("0" * 16, 1, "https://e.example/", "done", None)], "run_id string, event_index int, canonical_url string, status string, skip_reason string")
+    files = spark.createDataFrame([("web/a.md", "a" * 64)], "path string, record_hash string")
+    rules = lambda *x: {r.rule for r in receipts.site_faults(*x).collect()}
+    runs = spark.createDataFrame([run], cols)
+    assert rules(runs, pages, events, files) == set()
+    forged = spark.createDataFrame([("zz", "2026", "https://E.example/", "partial", 2, 0, 0, 0, 9, -1, True, True)], cols)
+    assert rules(forged, pages, events) == {"run-id", "created-at", "seed", "status", "count-written", "fetched-pages", "negative", "no-events", "exhausted-and-limited", "limited-but-done"}
+    assert rules(runs, pages, events, files.withColumn("record_hash", F.lit("b" * 64))) == {"record-changed"}
+    assert rules(runs, pages, events.where("event_index = 0"), files) == {"exhausted-but-pending"}
+    assert '"contract":"provenance-site-acquisition.v1"' in receipts.site_receipts(runs, pages, events).first().receipt
+
+
+def test_import_faults(spark):
+    from quern.functions import ids
+
+    items = spark.createDataFrame([("p", "a", "1" * 64, 3, "text/Plain", "T"), ("p", "b", "2" * 64, 4, "text/plain", None)], "package_id string, item_id string, sha256 string, byte_size long, mime string, title string")
+    none = F.lit(None).cast("string")
+    good = items.select("package_id", "item_id", ids.asset_id("sha256", F.col("package_id"), F.col("item_id"), none, none).alias("asset_id"), "sha256", "byte_size", F.lower("mime").alias("media_type"), F.coalesce("title", F.lit("")).alias("alt"))
+    total = spark.createDataFrame([("p", 7)], "package_id string, total long")
+    faults = lambda a, b: {(r.item_id, r.fault) for r in receipts.import_faults(items, a, b, total).collect()}
+    assert faults(good, items) == set()
+    assert faults(good.where("item_id = 'a'"), items) == {("b", "not-imported"), (None, "total-bytes")}
+    assert faults(good, items.where("item_id = 'a'")) == {("b", "blob-missing")}
+
+
 def corpus(spark):
     rows = [("a1", "First", "A durable corpus preserves source lineage.\n\nA second paragraph explains receipts.", "public", None, "s"), ("a2", "", "lineage of the source, the source again", "licensed", None, "s"), ("a3", "", "source lineage withdrawn", "public", "2026-01-01T00:00:00Z", "t")]
     d = spark.createDataFrame(rows, "asset_id string, title string, body string, access_class string, tombstoned_at string, source_id string")
