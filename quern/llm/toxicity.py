@@ -16,7 +16,7 @@ recurrence runs over all windows at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -201,16 +201,35 @@ def new_model(seed: int = 0) -> dict:
     }
 
 
-def _odds(bucket: np.ndarray, doc: np.ndarray, toxic: np.ndarray, weight: float = 3.0) -> np.ndarray:
-    """Log odds of toxicity given a bucket's presence, less those of all documents; a third of it."""
-    pair = np.unique(doc.astype(np.int64) * BUCKETS + bucket)
-    b, y = pair % BUCKETS, toxic[pair // BUCKETS]
-    t, n = np.bincount(b, y, BUCKETS), np.bincount(b, minlength=BUCKETS)
+def _odds(parts: Iterable[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight: float = 3.0) -> np.ndarray:
+    """Log odds of toxicity given a bucket's presence, less those of all documents; a third of it.
+
+    Parts are (bucket, document) pairs; no document is in two parts.
+    """
+    t, n = np.zeros(BUCKETS), np.zeros(BUCKETS, np.int64)
+    for bucket, doc in parts:
+        pair = np.unique(doc.astype(np.int64) * BUCKETS + bucket)
+        b, y = pair % BUCKETS, toxic[pair // BUCKETS]
+        t += np.bincount(b, y, BUCKETS)
+        n += np.bincount(b, minlength=BUCKETS)
     base = toxic.mean()
     share = (t + weight * base) / (n + weight)
     return ((np.log(share / (1 - share)) - np.log(base / (1 - base))) / 3).astype(np.float32)
 
 
+def _gram_parts(w: Words, doc: np.ndarray, word: np.ndarray, pairs: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams of the words of some documents at a time; pairs of document and word are sorted by document."""
+    count = np.bincount(w.gram_word, minlength=len(w.bucket))
+    first = np.cumsum(count) - count
+    i = 0
+    while i < len(doc):
+        j = int(np.searchsorted(doc, doc[min(i + pairs, len(doc)) - 1], side="right"))
+        n, begin = count[word[i:j]], first[word[i:j]]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield w.grams[at], np.repeat(doc[i:j], n)
+        i = j
+
+
 def _arrow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data, off, _ = kernel.utf8(pc.utf8_lower(pa.array(texts, pa.string())))
     return data, off
@@ -233,11 +252,8 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
         return m
     word_doc = np.unique(np.repeat(w.doc, WINDOW)[(np.arange(WINDOW) < w.length[:, None]).ravel()].astype(np.int64) * len(w.bucket) + w.ids[np.arange(WINDOW) < w.length[:, None]])
     doc, word = word_doc // len(w.bucket), word_doc % len(w.bucket)
-    m["word_odds"] = _odds(w.bucket[word], doc, toxic[halves[0]])
-    count = np.bincount(w.gram_word, minlength=len(w.bucket))
-    n, begin = count[word], (np.cumsum(count) - count)[word]
-    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    m["gram_odds"] = _odds(w.grams[at], np.repeat(doc, n), toxic[halves[0]])
+    m["word_odds"] = _odds([(w.bucket[word], doc)], toxic[halves[0]])
+    m["gram_odds"] = _odds(_gram_parts(w, doc, word), toxic[halves[0]])
 
     w, y = read(*_arrow([texts[i] for i in halves[1]])), toxic[halves[1]]
     if w is None:
