@@ -21,8 +21,8 @@ from quern.llm import kernel
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Slots of a worker's table, and ids that it holds before it begins anew.
-SLOTS, HELD = 1 << 21, 1 << 24
-PASS_BYTES = 1 << 21
+SLOTS, HELD = 1 << 21, 1 << 23
+PASS_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -101,12 +101,16 @@ def inputs(m: dict, w: Words) -> np.ndarray:
     """(words, _IN) inputs of the network."""
     x = np.zeros((len(w.bucket), _IN), np.float32)
     has, begin = _gram_bounds(w)
-    if len(has):
-        n = np.diff(np.append(begin, len(w.grams)))[:, None].astype(np.float32)
-        x[has, :CHAR_DIM] = np.add.reduceat(m["char"][w.grams], begin, axis=0) / n
-        odds = m["gram_odds"][w.grams]
-        x[has, CHAR_DIM] = np.add.reduceat(odds, begin) / n[:, 0]
-        x[has, CHAR_DIM + 1] = np.maximum.reduceat(odds, begin)
+    stop = np.append(begin[1:], len(w.grams))
+    for i in range(0, len(has), 1 << 14):  # some words at a time, since each has many grams
+        own, first = has[i : i + (1 << 14)], begin[i : i + (1 << 14)]
+        grams = w.grams[first[0] : stop[i : i + (1 << 14)][-1]]
+        n = (stop[i : i + (1 << 14)] - first)[:, None].astype(np.float32)
+        first = first - first[0]
+        x[own, :CHAR_DIM] = np.add.reduceat(m["char"][grams], first, axis=0) / n
+        odds = m["gram_odds"][grams]
+        x[own, CHAR_DIM] = np.add.reduceat(odds, first) / n[:, 0]
+        x[own, CHAR_DIM + 1] = np.maximum.reduceat(odds, first)
     x[:, CHAR_DIM + 2 : -1] = m["word"][w.bucket]
     x[:, -1] = m["word_odds"][w.bucket]
     return x
@@ -325,8 +329,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    texts, y = sample(docs, labels, id_col, text_col)
-    return train(texts, y)
+    model = train(*sample(docs, labels, id_col, text_col))
+    pa.default_memory_pool().release_unused()  # the sample's
+    return model
 
 
 _SCORED = "doc_id long, toxic boolean, score double, word long"
