@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.linededup import without_repeated_lines
+from quern.llm.linededup import without_repeated_lines, without_repeated_passages
 from quern.llm.mixing import mixed_documents
 from quern.llm.neardup import without_near_duplicates
 from quern.llm.packing import packed
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, and all others."""
-    return without_near_duplicates(docs)
+    """One document of each group of near duplicates, and all others, where a passage that several still share stays once."""
+    return without_repeated_passages(without_near_duplicates(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,8 @@ from quern.llm.work import new_folder, written
 MOST = 6
 #: Shorter lines (in UTF-8 bytes, without white space around) always stay.
 MIN_BYTES = 16
+#: No line of 50 words is shorter (in UTF-8 bytes, blanks between words included).
+PASSAGE_BYTES = 99
 #: Keys of a shard, about; shards that a worker holds at a time.
 SHARD_KEYS, HELD_SHARDS = 1 << 18, 24
 GAMMA, LEVELS = 2.0, 40
@@ -89,7 +91,7 @@ class PerfectHash:
 class Lines:
     """Lines of a pass over documents, in order."""
 
-    h: np.ndarray  # hash of the line without blanks around; 0 where that is under MIN_BYTES
+    h: np.ndarray  # hash of the line without blanks around; 0 where that is under the least bytes
     start: np.ndarray
     stop: np.ndarray
     ends: np.ndarray  # 1 where a line feed follows, 0 for a document's last line
@@ -97,7 +99,7 @@ class Lines:
     first: np.ndarray  # first line of each document
 
 
-def lines_of(data: np.ndarray, off: np.ndarray) -> Lines:
+def lines_of(data: np.ndarray, off: np.ndarray, least: int = MIN_BYTES) -> Lines:
     """A line feed parts two lines, so a document has one line more than line feeds."""
     feeds = np.flatnonzero(data == 10)
     upto = np.searchsorted(feeds, off)
@@ -112,7 +114,7 @@ def lines_of(data: np.ndarray, off: np.ndarray) -> Lines:
     start[first] = off[:-1]
     a, b = _stripped(data, start, stop)
     h = kernel.span_hashes(data, a, b)
-    h[b - a < MIN_BYTES] = 0
+    h[b - a < least] = 0
     return Lines(h, start, stop, ends, doc, first)
 
 
@@ -150,15 +152,15 @@ def _source(docs: DataFrame, id_col: str, text_col: str, *others: F.Column) -> D
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("place"), docs[text_col].cast("string").alias("text"), *others)
 
 
-def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h, n, first): how often each line occurs, and the smallest id that has it."""
+def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_BYTES) -> DataFrame:
+    """(h, n, first): how often each line of ``least`` bytes or more occurs, and the smallest id that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off, _ = kernel.utf8(b.column(1))
             place = np.asarray(b.column(0))
             for i, j in kernel.passes(off):
-                x = lines_of(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                x = lines_of(data[off[i] : off[j]], off[i : j + 1] - off[i], least)
                 own = np.flatnonzero(x.h)
                 h, p = x.h[own].view(np.int64), place[i + x.doc[own]]
                 order = np.argsort(h, kind="stable")
@@ -268,17 +270,17 @@ def kept_lines(x: Lines, place: np.ndarray, index: Index, most: int) -> np.ndarr
     return keep
 
 
-def deduplicated(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
+def deduplicated(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS, least: int = MIN_BYTES) -> DataFrame:
     """All rows and columns of ``docs`` with lines removed from the text, and two more: ``lines_before`` and ``lines_removed``.
 
     Line feeds part lines. Lines are the same that agree in all bytes but blanks (space, tab, carriage
     return, form feed, vertical tab) around. One that occurs more than ``most`` times in all rows
     stays only at its first place in the row of the smallest id that has it; rows
-    that share that id each keep one. Lines under MIN_BYTES always stay. Null ids come last. A null
+    that share that id each keep one. Lines under ``least`` bytes always stay. Null ids come last. A null
     text stays null, with no lines; an empty one is one line. Texts are
     read whole; an empty table gives none. Two added columns replace any of those names.
     """
-    folder, shards = build_index(line_counts(docs, id_col, text_col), most, shard_keys)
+    folder, shards = build_index(line_counts(docs, id_col, text_col, least), most, shard_keys)
     others = [c for c in docs.columns if c not in ("lines_before", "lines_removed")]
     whole = _source(docs, id_col, text_col, *(docs[c].alias(f"c{k}") for k, c in enumerate(others) if c != text_col))
     names = {c: (f"c{k}" if c != text_col else "text") for k, c in enumerate(others)}
@@ -291,7 +293,7 @@ def deduplicated(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text
             place = np.asarray(b.column(0))
             for i, j in kernel.passes(off):
                 own = data[off[i] : off[j]]
-                x = lines_of(own, off[i : j + 1] - off[i])
+                x = lines_of(own, off[i : j + 1] - off[i], least)
                 keep = kept_lines(x, place[i:j], index, most)
                 text, at = without(own, x, keep)
                 lines = np.diff(np.append(x.first, len(keep)))
@@ -304,14 +306,22 @@ def deduplicated(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text
     return whole.mapInArrow(run, schema).select(*(F.col(names[c]).alias(c) for c in others), "lines_before", "lines_removed")
 
 
-def without_repeated_lines(docs: DataFrame, most: int = MOST) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, most: int = MOST, least: int = MIN_BYTES) -> DataFrame:
     """``docs`` with its columns after ``deduplicated``, n_chars set anew, less the rows that lost lines and have only blanks left."""
-    d = deduplicated(docs, most).where("lines_removed = 0 or trim(BOTH ' \t\r\n' FROM text) <> ''")
+    d = deduplicated(docs, most, least=least).where("lines_removed = 0 or trim(BOTH ' \t\r\n' FROM text) <> ''")
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return d.select(*docs.columns)
 
 
+def without_repeated_passages(docs: DataFrame) -> DataFrame:
+    """``without_repeated_lines`` for passages, lines of PASSAGE_BYTES or more, each of which stays in one place only.
+
+    For documents without near copies: of those it would leave the parts that differ.
+    """
+    return without_repeated_lines(written(docs, "documents"), 1, PASSAGE_BYTES)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "lines_before", "lines_removed")
 

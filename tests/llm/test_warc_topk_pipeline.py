@@ -137,6 +137,23 @@ def test_pipeline(spark, tmp_path):
     assert docs.count() > 0 and docs.where("n_tokens > capacity").count() == 0
 
 
+def test_pipeline_keeps_one_place_of_rare_passages(spark):
+    import random
+
+    r = random.Random(3)
+    say = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    passage, tiny, short = say(60), " ".join("abcdefghijklmnopqrstuvwxy" * 2), "a short line of few words"
+    own = {k: [say(150), say(150)] for k in range(4)}
+    text = {k: "\n".join([own[k][0], passage, *([tiny] if k > 1 else []), short, own[k][1]]) for k in own}
+    near = text[1].replace(own[1][0], own[1][0] + " end")
+    docs = spark.createDataFrame([*((k, t) for k, t in text.items()), (9, near), (10, passage), (11, None)], "doc_id long, text string")
+    got = docs
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        got = stage(spark, got, "")
+    want = {k: "\n".join([own[k][0], *([passage] if k == 0 else []), *([tiny] if k == 2 else []), short, own[k][1]]) for k in own} | {11: None}
+    assert {x.doc_id: x.text for x in got.collect()} == want
+
+
 def test_pipeline_of_empty_documents(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
