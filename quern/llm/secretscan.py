@@ -2,8 +2,8 @@ r"""Operator 9: secret scans through nested encodings.
 
 A text is the first layer on a worklist. Each layer is scanned by all rules, and then
 unwrapped: percent escapes and Unicode escapes (\uXXXX, \xXX, &#N;) are decoded in
-place, so that what stands around them stays context; runs that are base64 of
-printable text or of compressed data become layers of their own. New layers join the list until none is left. A
+place, so that what stands around them stays context; runs of base64, of any data that
+has a mark once decoded and decompressed, become layers of their own. New layers join the list until none is left. A
 layer whose text was seen in the document is not taken again, which ends cycles.
 Every character of a layer knows the characters of the document that it came from, so a finding
 at any depth is given as a span of the document.
@@ -49,6 +49,8 @@ _RULES = [(kind, re.compile(rule)) for kind, _, rule in RULES]
 _ANY_RULE = "|".join(f"(?:{mark})" for _, mark, _ in RULES)
 _ANY_LAYER = rf"%[0-9A-Fa-f][0-9A-Fa-f]|\\[ux][0-9A-Fa-f{{]|&#[0-9xX]|[A-Za-z0-9+/_-]{{{BASE64_RUN}}}"
 
+_MAY = re.compile(f"{_ANY_RULE}|{_ANY_LAYER}")
+
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(rf"(?:[A-Za-z0-9+/]{{60,}}\r?\n)*[A-Za-z0-9+/_-]{{{BASE64_RUN},}}={{0,2}}")
@@ -105,15 +107,13 @@ def _unicode(layer: Layer) -> Layer | None:
     return _in_place(layer, "unicode", found) if found else None
 
 
-def _printable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text.translate(_KEEP).isprintable() else None
-
-
-_KEEP = {9: " ", 10: " ", 13: " ", 0x200B: " ", 0xFEFF: " "}
+def _text(data: bytes) -> tuple[str, np.ndarray]:
+    """The data as UTF-8, where a byte that isn't stays as a lone surrogate, and the size of each character."""
+    text = data.decode("utf-8", "surrogateescape")
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+    size[(c >= 0xDC80) & (c < 0xDD00)] = 1
+    return text, size
 
 
 def unfold(data: bytes) -> tuple[str, bytes] | None:
@@ -130,16 +130,13 @@ def unfold(data: bytes) -> tuple[str, bytes] | None:
     return None
 
 
-def _opened(data: bytes) -> tuple[list[str], str | bytes] | None:
-    """Names of the compressed layers around printable text, and the text."""
+def _opened(data: bytes) -> tuple[list[str], bytes]:
+    """Names of the compressed layers around the data, and what they hold."""
     names: list[str] = []
-    while True:
-        if (text := _printable(data)) is not None:
-            return names, text
-        if (inner := unfold(data)) is None:
-            return None
+    while (inner := unfold(data)) is not None:
         names.append(inner[0])
         data = inner[1]
+    return names, data
 
 
 def _base64(layer: Layer) -> list[Layer]:
@@ -160,20 +157,19 @@ def _base64(layer: Layer) -> list[Layer]:
                 data = base64.urlsafe_b64decode(core.replace("+", "-").replace("/", "_") + "=" * (-len(core) % 4))
             except (binascii.Error, ValueError):
                 continue
-            if (found := _opened(data)) is None:
+            names, data = _opened(data)
+            text, size = _text(data)
+            if not _MAY.search(text):
                 continue
-            names, text = found
             own = places[shift : shift + len(core)]
             if names:  # compressed: any part may stem from any other
-                begin = np.full(len(text), layer.begin[own].min())
-                end = np.full(len(text), layer.end[own].max())
+                begin = np.broadcast_to(layer.begin[own].min(), len(text))
+                end = np.broadcast_to(layer.end[own].max(), len(text))
             else:
-                size = np.array([len(c.encode()) for c in text])
                 stop = np.cumsum(size)
                 begin = layer.begin[own[(stop - size) * 4 // 3]]
                 end = layer.end[own[np.minimum(-(-stop * 4 // 3), len(own)) - 1]]
             out.append(Layer(text, begin, end, (*layer.path, "base64", *names)))
-            break
     return out
 
 

@@ -254,6 +254,14 @@ def test_any_nesting_is_unwrapped(layers, before, after):
     assert all(len(before) <= a < b <= len(before) + len(inner) for _, a, b, _, _ in found)
 
 
+@pytest.mark.parametrize("inner", [f"cl\u00e9\u00a0: {KEY}", f"\u5bc6\u94a5\u3000{KEY}", f"page\f{KEY}", f"\x1b[1m {KEY}\x1b[0m", f"a\u200db\u00ad {KEY}", "\u202f" + KEY, "\x00\x01 " + KEY + "\x02"])
+def test_layers_of_any_characters_are_scanned(inner):
+    for data in (inner.encode(), gzip.compress(inner.encode()), b"\xff\xfe " + inner.encode()):
+        text = "see " + b64(data) + " end"
+        found = [x for x in secretscan.scan(text) if x[0] == "aws_access_key"]
+        assert found and all(v == KEY and 4 <= a < b <= len(text) - 4 for _, a, b, _, v in found)
+
+
 def test_spans_and_cycles():
     text = "é " + urllib.parse.quote(f"x={KEY}") + " z"
     (kind, a, b, path, value), = secretscan.scan(text)
