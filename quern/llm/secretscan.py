@@ -21,7 +21,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 
 #: The shortest run taken for base64, and the most bytes that a compressed layer may unfold to.
 BASE64_RUN, UNFOLDED_BYTES = 20, 64 << 20
+#: The shortest line of a blob wrapped to lines.
+WRAPPED_RUN = 8
+_RUN, _BREAK = "[A-Za-z0-9+/_-]", r"\r?\n[ \t]*"
 
 #: Rules by kind. A group named v is the secret; else the whole match is. The mark is an RE2 expression that any match contains.
 RULES = [
@@ -47,20 +50,28 @@ RULES = [
 ]
 _RULES = [(kind, re.compile(rule)) for kind, _, rule in RULES]
 _ANY_RULE = "|".join(f"(?:{mark})" for _, mark, _ in RULES)
-_ANY_LAYER = rf"%[0-9A-Fa-f][0-9A-Fa-f]|\\[ux][0-9A-Fa-f{{]|&#[0-9xX]|[A-Za-z0-9+/_-]{{{BASE64_RUN}}}"
+_ANY_LAYER = rf"%[0-9A-Fa-f][0-9A-Fa-f]|\\[ux][0-9A-Fa-f{{]|&#[0-9xX]|{_RUN}{{{BASE64_RUN}}}|{_RUN}{{{WRAPPED_RUN}}}{_BREAK}{_RUN}"
 
 _MAY = re.compile(f"{_ANY_RULE}|{_ANY_LAYER}")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-_BASE64 = re.compile(rf"(?:[A-Za-z0-9+/]{{60,}}\r?\n)*[A-Za-z0-9+/_-]{{{BASE64_RUN},}}={{0,2}}")
+_BASE64 = re.compile(rf"{_RUN}{{{BASE64_RUN},}}={{0,2}}")
+_WRAPPED = re.compile(rf"(?<!{_RUN}){_RUN}{{{WRAPPED_RUN},}}+(?:{_BREAK}{_RUN}++)+={{0,2}}")
+_PART = re.compile(rf"[A-Za-z0-9+]{{{BASE64_RUN},}}")
+_LINE = re.compile(rf"{_RUN}+={{0,2}}")
+#: The rules where text starts that is glued to what stands before.
+_GLUED = [(kind, re.compile(re.sub(r"\(\?<![^)]*\)", "", rule))) for kind, _, rule in RULES]
+#: How compressed data begins.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
 
 
 class Layer:
     """A text with, for each character, where in the document its source begins and ends."""
 
-    def __init__(self, text: str, begin: np.ndarray, end: np.ndarray, path: tuple[str, ...]) -> None:
+    def __init__(self, text: str, begin: np.ndarray, end: np.ndarray, path: tuple[str, ...], cuts: Iterable[int] = ()) -> None:
         self.text, self.begin, self.end, self.path = text, begin, end, path
+        self.cuts = cuts  # where text may start, whatever stands before
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         return int(self.begin[a:b].min()), int(self.end[a:b].max())
@@ -116,8 +127,8 @@ def _text(data: bytes) -> tuple[str, np.ndarray]:
     return text, size
 
 
-def unfold(data: bytes) -> tuple[str, bytes] | None:
-    """What gzip, zlib, bzip2 or xz data unfolds to, of UNFOLDED_BYTES at most."""
+def unfold(data: bytes) -> tuple[str, bytes, int] | None:
+    """What gzip, zlib, bzip2 or xz data unfolds to, of UNFOLDED_BYTES at most, and how many bytes of it that takes."""
     for name, magic, opener in (("gzip", b"\x1f\x8b", lambda: zlib.decompressobj(31)), ("zlib", b"x", lambda: zlib.decompressobj()), ("bzip2", b"BZh", bz2.BZ2Decompressor), ("xz", b"\xfd7zXZ", lzma.LZMADecompressor)):
         if data.startswith(magic):
             try:
@@ -126,7 +137,7 @@ def unfold(data: bytes) -> tuple[str, bytes] | None:
             except (zlib.error, OSError, ValueError, lzma.LZMAError):
                 continue
             if out:
-                return name, out
+                return name, out, len(data) - len(d.unused_data)
     return None
 
 
@@ -139,17 +150,53 @@ def _opened(data: bytes) -> tuple[list[str], bytes]:
     return names, data
 
 
+def _runs(text: str) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Places of the characters of each run that may be base64, and where in it what is encoded may start, after glued text."""
+
+    def run(spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[int]]:
+        places = np.concatenate([np.arange(a, b) for a, b in spans])
+        cuts = np.flatnonzero([text[k] in "/-_" for k in places]) + 1
+        return places, [*cuts.tolist(), *np.cumsum([b - a for a, b in spans])[:-1].tolist()]
+
+    for m in _BASE64.finditer(text):
+        yield run([m.span()])
+        if m[0].rstrip("=").translate(_NO_GLUE) != m[0].rstrip("="):
+            yield from (run([part.span()]) for part in _PART.finditer(text, *m.span()))
+    for m in _WRAPPED.finditer(text):
+        lines = [x.span() for x in _LINE.finditer(text, *m.span())]
+        size = [b - a for a, b in lines]
+        at = 0
+        while at < len(lines) - 1:
+            # lines of one width, but for the first, which may have text before it, and a shorter last one
+            stop = at + 2
+            while stop < len(lines) and size[stop] <= size[stop - 1] == size[at + 1]:
+                stop += 1
+            yield run(lines[at:stop])
+            if stop - at > 2 or size[stop - 1] < size[at]:  # the last may be a word that follows
+                yield run(lines[at : stop - 1])
+            at = stop - 1
+
+
+_NO_GLUE = str.maketrans("", "", "/-_")
+
+
+def _starts(text: str, first: np.ndarray, cuts: list[int]) -> list[int]:
+    """Characters at which what is encoded may start: the given bytes, and each group of three soon after the start or what is no text."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    bad = ((c < 32) & ~np.isin(c, (9, 10, 12, 13, 27))) | ((c >= 127) & (c < 160)) | ((c >= 0xDC80) & (c < 0xDD00))
+    last = np.maximum.accumulate(np.where(bad, np.arange(len(c)), -1)) if len(c) else np.zeros(0, int)
+    soon = np.arange(len(c)) - last <= 12
+    return np.flatnonzero(((first % 3 == 0) & soon) | np.isin(first, cuts)).tolist()
+
+
 def _base64(layer: Layer) -> list[Layer]:
     out = []
-    for m in _BASE64.finditer(layer.text):
-        run = m[0]
-        places = np.arange(m.start(), m.end())
-        if "\n" in run:
-            places = places[[c not in "\r\n" for c in run]]
-            run = run.replace("\r", "").replace("\n", "")
-        # what stands before a run without a break can shift it: all four phases are tried
+    for places, cuts in _runs(layer.text):
+        run = "".join([layer.text[k] for k in places]) if places[-1] - places[0] >= len(places) else layer.text[places[0] : places[-1] + 1]
+        run = run.rstrip("=")
+        # what stands before a run without a break can shift it: all four phases are tried, and what isn't text is passed over
         for shift in range(4):
-            core = run[shift:].rstrip("=")
+            core = run[shift:]
             core = core[: len(core) - (len(core) % 4 == 1)]
             if len(core) < BASE64_RUN - 3:
                 break
@@ -157,19 +204,27 @@ def _base64(layer: Layer) -> list[Layer]:
                 data = base64.urlsafe_b64decode(core.replace("+", "-").replace("/", "_") + "=" * (-len(core) % 4))
             except (binascii.Error, ValueError):
                 continue
-            names, data = _opened(data)
-            text, size = _text(data)
-            if not _MAY.search(text):
-                continue
             own = places[shift : shift + len(core)]
-            if names:  # compressed: any part may stem from any other
-                begin = np.broadcast_to(layer.begin[own].min(), len(text))
-                end = np.broadcast_to(layer.end[own].max(), len(text))
-            else:
+            text, size = _text(data)
+            if _MAY.search(text):
                 stop = np.cumsum(size)
                 begin = layer.begin[own[(stop - size) * 4 // 3]]
                 end = layer.end[own[np.minimum(-(-stop * 4 // 3), len(own)) - 1]]
-            out.append(Layer(text, begin, end, (*layer.path, "base64", *names)))
+                starts = _starts(text, stop - size, [(k - shift) // 4 * 3 for k in cuts if k >= shift and (k - shift) % 4 == 0])
+                out.append(Layer(text, begin, end, (*layer.path, "base64"), starts))
+            at = 0
+            while (m := _MAGIC.search(data, at)) is not None:
+                at = m.start() + 1
+                if (inner := unfold(data[m.start() :])) is None:
+                    continue
+                at = m.start() + inner[2]
+                names, held = _opened(inner[1])
+                text, _ = _text(held)
+                if _MAY.search(text):  # any part may stem from any other
+                    part = own[m.start() * 4 // 3 : -(-at * 4 // 3)]
+                    begin = np.broadcast_to(layer.begin[part].min(), len(text))
+                    end = np.broadcast_to(layer.end[part].max(), len(text))
+                    out.append(Layer(text, begin, end, (*layer.path, "base64", inner[0], *names)))
     return out
 
 
@@ -187,6 +242,10 @@ def scan(text: str) -> list[tuple[str, int, int, tuple[str, ...], str]]:
             for m in rule.finditer(layer.text):
                 a, b = m.span("v") if "v" in rule.groupindex else m.span()
                 found.setdefault((kind, *layer.span(a, b), layer.text[a:b]), layer.path)
+        for kind, rule in _GLUED if layer.cuts else ():
+            for m in filter(None, (rule.match(layer.text, at) for at in layer.cuts)):
+                a, b = m.span("v") if "v" in rule.groupindex else m.span()
+                found.setdefault((kind, *layer.span(a, b), layer.text[a:b]), layer.path)
         work += [x for x in (_percent(layer), _unicode(layer)) if x is not None]
         work += _base64(layer)
     return sorted((kind, a, b, path, value) for (kind, a, b, value), path in found.items())

@@ -262,6 +262,23 @@ def test_layers_of_any_characters_are_scanned(inner):
         assert found and all(v == KEY and 4 <= a < b <= len(text) - 4 for _, a, b, _, v in found)
 
 
+@pytest.mark.parametrize("prefix", ["uploads/", "api/v1/", "user-data-", "token-", "secret_", "a/b/c/d/e/", "data", "prefixes", "x", "averylongprefix"])
+def test_runs_glued_to_what_stands_before(prefix):
+    for inner in (KEY, f"{KEY} is the key", f"the key is {KEY}"):
+        for data in (inner.encode(), gzip.compress(inner.encode())):
+            text = "see " + prefix + b64(data) + " end"
+            found = [x for x in secretscan.scan(text) if x[0] == "aws_access_key"]
+            assert found and all(v == KEY and 4 <= a < b <= len(text) - 4 for _, a, b, _, v in found), inner
+
+
+@pytest.mark.parametrize("width", [16, 40, 64, 76])
+def test_wrapped_runs(width):
+    for n in range(40, 140):
+        run = b64("some words " * 20 + "." * n + f" {KEY}")
+        text = "\n".join(["a blob:", *(run[k : k + width] for k in range(0, len(run), width)), "follows"])
+        assert [v for kind, *_, v in secretscan.scan(text) if kind == "aws_access_key"], n
+
+
 def test_spans_and_cycles():
     text = "é " + urllib.parse.quote(f"x={KEY}") + " z"
     (kind, a, b, path, value), = secretscan.scan(text)
