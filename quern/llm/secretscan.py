@@ -3,7 +3,7 @@ r"""Operator 9: secret scans through nested encodings.
 A text is the first layer on a worklist. Each layer is scanned by all rules, and then
 unwrapped: percent escapes and Unicode escapes (\uXXXX, \xXX, &#N;) are decoded in
 place, so that what stands around them stays context; runs of base64, of any data that
-has a mark once decoded and decompressed, become layers of their own. New layers join the list until none is left. A
+has a mark once decoded and decompressed, become layers of their own. New layers join the list until none is left; decompressed ones do in pieces. A
 layer whose text was seen in the document is not taken again, which ends cycles.
 Every character of a layer knows the characters of the document that it came from, so a finding
 at any depth is given as a span of the document.
@@ -22,6 +22,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, tee
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The shortest run taken for base64, and the most bytes that a compressed layer may unfold to.
-BASE64_RUN, UNFOLDED_BYTES = 20, 64 << 20
+#: The shortest run taken for base64.
+BASE64_RUN = 20
+#: Compressed data is unfolded and scanned in pieces of so many bytes, each with so many of the one before.
+PIECE_BYTES, OVERLAP_BYTES = 16 << 20, 1 << 20
 #: The shortest line of a blob wrapped to lines.
 WRAPPED_RUN = 8
 _RUN, _BREAK = "[A-Za-z0-9+/_-]", r"\r?\n[ \t]*"
@@ -127,27 +130,95 @@ def _text(data: bytes) -> tuple[str, np.ndarray]:
     return text, size
 
 
-def unfold(data: bytes) -> tuple[str, bytes, int] | None:
-    """What gzip, zlib, bzip2 or xz data unfolds to, of UNFOLDED_BYTES at most, and how many bytes of it that takes."""
-    for name, magic, opener in (("gzip", b"\x1f\x8b", lambda: zlib.decompressobj(31)), ("zlib", b"x", lambda: zlib.decompressobj()), ("bzip2", b"BZh", bz2.BZ2Decompressor), ("xz", b"\xfd7zXZ", lzma.LZMADecompressor)):
-        if data.startswith(magic):
-            try:
+class _Zlib:
+    """zlib and gzip data with the methods of the other decompressors."""
+
+    def __init__(self, bits: int) -> None:
+        self.d, self.full = zlib.decompressobj(bits), False
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        out = self.d.decompress(self.d.unconsumed_tail + data, most)
+        self.full = len(out) == most
+        return out
+
+    @property
+    def eof(self) -> bool:
+        return self.d.eof
+
+    @property
+    def unused_data(self) -> bytes:
+        return self.d.unused_data
+
+    @property
+    def needs_input(self) -> bool:
+        return not self.d.eof and not self.full and not self.d.unconsumed_tail
+
+
+_OPENERS = [("gzip", b"\x1f\x8b", lambda: _Zlib(31)), ("zlib", b"x", lambda: _Zlib(15)), ("bzip2", b"BZh", bz2.BZ2Decompressor), ("xz", b"\xfd7zXZ", lzma.LZMADecompressor)]
+
+
+def _members(chunks: Iterable[bytes], magic: bytes, opener, rest: list[int]) -> Iterator[bytes]:
+    """What all members of compressed data hold, up to an error; ``rest`` gets how many bytes of the last chunk follow them."""
+    d = opener()
+    for chunk in chunks:
+        while True:
+            if d.eof:
+                if not chunk:
+                    break
+                if chunk[: len(magic)] != magic[: len(chunk)]:
+                    return
                 d = opener()
-                out = d.decompress(data, UNFOLDED_BYTES)
-            except (zlib.error, OSError, ValueError, lzma.LZMAError):
-                continue
+            try:
+                out = d.decompress(chunk, OVERLAP_BYTES)
+            except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+                return
+            chunk = b""
             if out:
-                return name, out, len(data) - len(d.unused_data)
-    return None
+                yield out
+            if d.eof:
+                chunk = d.unused_data
+                rest[0] = len(chunk)
+            elif d.needs_input:
+                break
 
 
-def _opened(data: bytes) -> tuple[list[str], bytes]:
-    """Names of the compressed layers around the data, and what they hold."""
+def unfolded(chunks: Iterable[bytes], rest: list[int]) -> tuple[list[str], Iterator[bytes]]:
+    """Names of the compressed layers around data, and what is in the innermost, bit by bit."""
     names: list[str] = []
-    while (inner := unfold(data)) is not None:
-        names.append(inner[0])
-        data = inner[1]
-    return names, data
+    while True:
+        chunks = iter(chunks)
+        head = next(chunks, b"")
+        while 0 < len(head) < 16 and (more := next(chunks, b"")):
+            head += more
+        chunks = chain([head], chunks)
+        for name, magic, opener in _OPENERS if _MAGIC.match(head) else ():
+            if head.startswith(magic):
+                kept, chunks = tee(chunks) if names else ((head,), chunks)
+                inner = _members(chunks, magic, opener, [0] if names else rest)
+                if first := next(inner, b""):
+                    names.append(name)
+                    chunks = chain([first], inner)
+                    break
+                return names, iter(kept)
+        else:
+            return names, chunks
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The data in pieces that overlap, cut at blanks where there are any."""
+    held = bytearray()
+    for chunk in chunks:
+        held += chunk
+        while len(held) >= PIECE_BYTES:
+            low = PIECE_BYTES - OVERLAP_BYTES
+            stop = max(held.rfind(b" ", low, PIECE_BYTES), held.rfind(b"\n", low, PIECE_BYTES))
+            stop = PIECE_BYTES if stop < 0 else stop
+            yield bytes(held[:stop])
+            back = max(1, stop - OVERLAP_BYTES)
+            start = max(held.rfind(b" ", 1, back), held.rfind(b"\n", 1, back))
+            del held[: start if start > back - OVERLAP_BYTES and start > 0 else back]
+    if held:
+        yield bytes(held)
 
 
 def _runs(text: str) -> Iterator[tuple[np.ndarray, list[int]]]:
@@ -158,10 +229,6 @@ def _runs(text: str) -> Iterator[tuple[np.ndarray, list[int]]]:
         cuts = np.flatnonzero([text[k] in "/-_" for k in places]) + 1
         return places, [*cuts.tolist(), *np.cumsum([b - a for a, b in spans])[:-1].tolist()]
 
-    for m in _BASE64.finditer(text):
-        yield run([m.span()])
-        if m[0].rstrip("=").translate(_NO_GLUE) != m[0].rstrip("="):
-            yield from (run([part.span()]) for part in _PART.finditer(text, *m.span()))
     for m in _WRAPPED.finditer(text):
         lines = [x.span() for x in _LINE.finditer(text, *m.span())]
         size = [b - a for a, b in lines]
@@ -175,6 +242,10 @@ def _runs(text: str) -> Iterator[tuple[np.ndarray, list[int]]]:
             if stop - at > 2 or size[stop - 1] < size[at]:  # the last may be a word that follows
                 yield run(lines[at : stop - 1])
             at = stop - 1
+    for m in _BASE64.finditer(text):
+        yield run([m.span()])
+        if m[0].rstrip("=").translate(_NO_GLUE) != m[0].rstrip("="):
+            yield from (run([part.span()]) for part in _PART.finditer(text, *m.span()))
 
 
 _NO_GLUE = str.maketrans("", "", "/-_")
@@ -189,8 +260,8 @@ def _starts(text: str, first: np.ndarray, cuts: list[int]) -> list[int]:
     return np.flatnonzero(((first % 3 == 0) & soon) | np.isin(first, cuts)).tolist()
 
 
-def _base64(layer: Layer) -> list[Layer]:
-    out = []
+def _base64(layer: Layer) -> Iterator[Layer]:
+    done: set[int] = set()  # where compressed data begins that was taken from a longer run
     for places, cuts in _runs(layer.text):
         run = "".join([layer.text[k] for k in places]) if places[-1] - places[0] >= len(places) else layer.text[places[0] : places[-1] + 1]
         run = run.rstrip("=")
@@ -211,43 +282,60 @@ def _base64(layer: Layer) -> list[Layer]:
                 begin = layer.begin[own[(stop - size) * 4 // 3]]
                 end = layer.end[own[np.minimum(-(-stop * 4 // 3), len(own)) - 1]]
                 starts = _starts(text, stop - size, [(k - shift) // 4 * 3 for k in cuts if k >= shift and (k - shift) % 4 == 0])
-                out.append(Layer(text, begin, end, (*layer.path, "base64"), starts))
+                yield Layer(text, begin, end, (*layer.path, "base64"), starts)
             at = 0
             while (m := _MAGIC.search(data, at)) is not None:
                 at = m.start() + 1
-                if (inner := unfold(data[m.start() :])) is None:
+                rest = [-1]
+                if (start := int(own[m.start() * 4 // 3])) in done:
                     continue
-                at = m.start() + inner[2]
-                names, held = _opened(inner[1])
-                text, _ = _text(held)
-                if _MAY.search(text):  # any part may stem from any other
-                    part = own[m.start() * 4 // 3 : -(-at * 4 // 3)]
-                    begin = np.broadcast_to(layer.begin[part].min(), len(text))
-                    end = np.broadcast_to(layer.end[part].max(), len(text))
-                    out.append(Layer(text, begin, end, (*layer.path, "base64", inner[0], *names)))
-    return out
+                names, inner = unfolded([data[m.start() :]], rest)
+                if not names:
+                    continue
+                done.add(start)
+                for piece in _pieces(inner):
+                    text = piece.decode("utf-8", "surrogateescape")
+                    if _MAY.search(text):  # any part may stem from any other
+                        part = own[m.start() * 4 // 3 : -(-(len(data) - max(rest[0], 0)) * 4 // 3)]
+                        begin = np.broadcast_to(layer.begin[part].min(), len(text))
+                        end = np.broadcast_to(layer.end[part].max(), len(text))
+                        yield Layer(text, begin, end, (*layer.path, "base64", *names))
+                at = max(at, len(data) - rest[0]) if rest[0] >= 0 else at
+
+
+def _inner(layer: Layer) -> Iterator[Layer]:
+    """The layers in a layer."""
+    yield from (x for f in (_percent, _unicode) if (x := f(layer)) is not None)
+    yield from _base64(layer)
 
 
 def scan(text: str) -> list[tuple[str, int, int, tuple[str, ...], str]]:
     """(kind, start, stop, layers, secret) of a text's findings, each at its shallowest layer, by place."""
     places = np.arange(len(text) + 1)
-    work, seen, found = [Layer(text, places[:-1], places[1:], ())], set(), {}
+    # the newest layers first, so that of a long one few pieces are held
+    work, seen, found = [iter([Layer(text, places[:-1], places[1:], ())])], {}, {}
+
+    def add(key: tuple, path: tuple[str, ...]) -> None:
+        if key not in found or len(path) < len(found[key]):
+            found[key] = path
+
     while work:
-        layer = work.pop(0)
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
         mark = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(layer.begin[0]) if len(layer.begin) else 0)
-        if mark in seen:
+        if seen.get(mark, len(layer.path) + 1) <= len(layer.path):
             continue
-        seen.add(mark)
+        seen[mark] = len(layer.path)
         for kind, rule in _RULES:
             for m in rule.finditer(layer.text):
                 a, b = m.span("v") if "v" in rule.groupindex else m.span()
-                found.setdefault((kind, *layer.span(a, b), layer.text[a:b]), layer.path)
+                add((kind, *layer.span(a, b), layer.text[a:b]), layer.path)
         for kind, rule in _GLUED if layer.cuts else ():
             for m in filter(None, (rule.match(layer.text, at) for at in layer.cuts)):
                 a, b = m.span("v") if "v" in rule.groupindex else m.span()
-                found.setdefault((kind, *layer.span(a, b), layer.text[a:b]), layer.path)
-        work += [x for x in (_percent(layer), _unicode(layer)) if x is not None]
-        work += _base64(layer)
+                add((kind, *layer.span(a, b), layer.text[a:b]), layer.path)
+        work.append(_inner(layer))
     return sorted((kind, a, b, path, value) for (kind, a, b, value), path in found.items())
 
 

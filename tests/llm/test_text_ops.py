@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import bz2
 import gzip
+import lzma
 import os
 import random
 import urllib.parse
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -279,6 +281,18 @@ def test_wrapped_runs(width):
         assert [v for kind, *_, v in secretscan.scan(text) if kind == "aws_access_key"], n
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_compressed_data_is_read_whole(pack, monkeypatch):
+    monkeypatch.setattr(secretscan, "PIECE_BYTES", 4096, raising=False)
+    monkeypatch.setattr(secretscan, "OVERLAP_BYTES", 512, raising=False)
+    monkeypatch.setattr(secretscan, "UNFOLDED_BYTES", 4096, raising=False)
+    for n in (0, 700, 811, 818, 819, 820, 821, 900, 5000):
+        inner = "word " * n + KEY + " é" * 3000
+        for data in (pack(inner.encode()), pack(b"first ") + pack(inner.encode()), pack(pack(inner.encode()))):
+            found = [(v, 4 <= a < b) for kind, a, b, _, v in secretscan.scan("see " + b64(data) + " end") if kind == "aws_access_key"]
+            assert found == [(KEY, True)], n
+
+
 def test_spans_and_cycles():
     text = "é " + urllib.parse.quote(f"x={KEY}") + " z"
     (kind, a, b, path, value), = secretscan.scan(text)
