@@ -13,6 +13,8 @@ from quern.llm.work import new_folder
 
 #: Tokens of a block, so that eight of them, with the ends and joints that encoding them again adds, fill the largest sequence.
 BLOCK = 1000
+#: Lines that the corpus holds more often are removed before near copies are looked for; rarer ones stay until then, since without them near copies couldn't be told.
+OFTEN = 6
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the repeats of frequent lines, less those of which nothing else was left."""
-    return without_repeated_lines(docs)
+    return without_repeated_lines(docs, OFTEN)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

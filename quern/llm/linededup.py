@@ -1,18 +1,21 @@
 """Operator 6: line dedup by a sharded minimal perfect hash.
 
-A first pass counts the distinct line hashes and finds each one's first document. Those
-that occur more than MOST times, far fewer than all lines, are split by hash into shards of some hundred thousand. Each shard is a
+A first pass counts the distinct line hashes and finds each one's first document. All of
+them are split by hash into shards of about a million, and each shard becomes a
 minimal perfect hash of levels: a hash puts each key on a bit of an array twice
 as long as there are keys, keys that share a bit go to the next level, and the rank of
 a key's bit is its number. By that number a shard keeps a compact fingerprint, the
-count, and the first document. The second pass over the documents probes these
-arrays instead of joining lines: a worker holds a few shards at a time, and asks
-for all lines of a batch at once.
+count, and the first document.
+
+A second pass sends each document's distinct line hashes to their shards, where they probe
+these arrays; no table of lines is joined. Probes are rebalanced by shard and sorted by it, so that a
+task meets a shard once and holds one at a time, and those of a line that a third of all documents
+have are dealt to several tasks. Only what has to go comes back, as a list of hashes for each
+document that loses lines.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,13 +30,11 @@ from quern.llm import kernel
 from quern.llm.work import new_folder, written
 
 #: A line that the corpus holds more often than MOST stays only where it first occurs.
-MOST = 6
-#: Shorter lines (in UTF-8 bytes, without white space around) always stay.
-MIN_BYTES = 16
+MOST = 1
 #: No line of 50 words is shorter (in UTF-8 bytes, blanks between words included).
 PASSAGE_BYTES = 99
-#: Keys of a shard, about; shards that a worker holds at a time.
-SHARD_KEYS, HELD_SHARDS = 1 << 18, 24
+#: Keys of a shard, about.
+SHARD_KEYS = 1 << 20
 GAMMA, LEVELS = 2.0, 40
 
 _U = np.uint64
@@ -91,7 +92,7 @@ class PerfectHash:
 class Lines:
     """Lines of a pass over documents, in order."""
 
-    h: np.ndarray  # hash of the line without blanks around; 0 where that is under the least bytes
+    h: np.ndarray  # hash of the line without blanks around, never 0; 0 where that is under the least bytes
     start: np.ndarray
     stop: np.ndarray
     ends: np.ndarray  # 1 where a line feed follows, 0 for a document's last line
@@ -99,7 +100,7 @@ class Lines:
     first: np.ndarray  # first line of each document
 
 
-def lines_of(data: np.ndarray, off: np.ndarray, least: int = MIN_BYTES) -> Lines:
+def lines_of(data: np.ndarray, off: np.ndarray, least: int = 1) -> Lines:
     """A line feed parts two lines, so a document has one line more than line feeds."""
     feeds = np.flatnonzero(data == 10)
     upto = np.searchsorted(feeds, off)
@@ -114,7 +115,8 @@ def lines_of(data: np.ndarray, off: np.ndarray, least: int = MIN_BYTES) -> Lines
     start[first] = off[:-1]
     a, b = _stripped(data, start, stop)
     h = kernel.span_hashes(data, a, b)
-    h[b - a < least] = 0
+    h[h == 0] = 1
+    h[b - a < max(least, 1)] = 0
     return Lines(h, start, stop, ends, doc, first)
 
 
@@ -152,8 +154,8 @@ def _source(docs: DataFrame, id_col: str, text_col: str, *others: F.Column) -> D
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("place"), docs[text_col].cast("string").alias("text"), *others)
 
 
-def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_BYTES) -> DataFrame:
-    """(h, n, first): how often each line of ``least`` bytes or more occurs, and the smallest id that has it."""
+def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """(h, n, first): how often each line of ``least`` bytes or more, and not blank, occurs, and the smallest id that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,78 +193,107 @@ def _shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4))], names=["shard", "sizes", "bits", "prints", "counts", "firsts"])
 
 
-def build_index(counts: DataFrame, most: int = MOST, shard_keys: int = SHARD_KEYS) -> tuple[str, int]:
-    """Folder and number of the shards of lines that occur more than ``most`` times."""
-    spark = counts.sparkSession
-    frequent = written(counts.where(F.col("n") > most), "lines")
-    shards = max(1, -(-frequent.count() // shard_keys))
-    folder = new_folder(spark, "line-index")
+def build_index(counts: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[str, int]:
+    """Folder and number of the shards, which hold all counted lines."""
+    lines = written(counts, "lines")
+    shards = max(1, -(-lines.count() // shard_keys))
+    folder = new_folder(counts.sparkSession, "line-index")
     shard = F.pmod("h", F.lit(shards)).cast("int")
-    frequent.withColumn("shard", shard).groupBy("shard").applyInArrow(_shard, _SHARD).withColumn("part", F.col("shard")).write.partitionBy("part").option("compression", "zstd").parquet(folder)
+    lines.withColumn("shard", shard).groupBy("shard").applyInArrow(_shard, _SHARD).withColumn("part", F.col("shard")).write.partitionBy("part").option("compression", "zstd").parquet(folder)
     return folder, shards
 
 
 class Index:
-    """A worker's view of an index: the shards it used last."""
+    """A task's view of an index: the shard it probed last."""
 
-    def __init__(self, folder: str, shards: int) -> None:
-        self.folder, self.shards, self.held = folder, shards, OrderedDict()
+    def __init__(self, folder: str) -> None:
         self.fs, self.at = pafs.FileSystem.from_uri(folder)
-        self.there = {f.base_name for f in self.fs.get_file_info(pafs.FileSelector(self.at, allow_not_found=True))}
+        self.held, self.arrays, self.loads = None, None, 0
 
     def shard(self, k: int):
-        if k not in self.held:
-            found = None
-            if f"part={k}" in self.there:
-                files = [f.path for f in self.fs.get_file_info(pafs.FileSelector(f"{self.at}/part={k}")) if f.path.endswith(".parquet")]
-                row = pa.concat_tables([pq.ParquetFile(self.fs.open_input_file(p)).read() for p in files]).to_pylist()[0]
-                found = (PerfectHash(np.array(row["sizes"], np.int64), np.frombuffer(row["bits"], np.uint8)), *(np.frombuffer(row[c], t) for c, t in (("prints", np.uint32), ("counts", np.uint32), ("firsts", np.int64))))
-            self.held[k] = found
-            while len(self.held) > HELD_SHARDS:
-                self.held.popitem(last=False)
-        self.held.move_to_end(k)
-        return self.held[k]
-
-    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count (0 where the index hasn't the line) and first document of each hash."""
+        """Hash, fingerprints, counts and first documents of shard k; None where it has no lines."""
+        if k != self.held:
+            self.held, self.arrays = k, None  # the last one's memory first
+            files = [f.path for f in self.fs.get_file_info(pafs.FileSelector(f"{self.at}/part={k}", allow_not_found=True)) if f.path.endswith(".parquet")]
+            if files:
+                row = pa.concat_tables([pq.ParquetFile(self.fs.open_input_file(p)).read() for p in files])
+                sizes, (bits, prints, counts, firsts) = row["sizes"][0].as_py(), (row[c][0].as_buffer() for c in ("bits", "prints", "counts", "firsts"))
+                self.arrays = PerfectHash(np.array(sizes, np.int64), np.frombuffer(bits, np.uint8)), np.frombuffer(prints, np.uint32), np.frombuffer(counts, np.uint32), np.frombuffer(firsts, np.int64)
+            self.loads += 1
+        return self.arrays
+
+    def probe(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count (0 where the shard hasn't the line) and first document of each hash of shard k."""
         count, first = np.zeros(len(h), np.int64), np.full(len(h), _LAST)
-        own = np.mod(h.view(np.int64), self.shards)
-        order = np.argsort(own, kind="stable")
-        cut = np.searchsorted(own[order], np.arange(self.shards + 1))
-        for k in np.unique(own):
-            rows = order[cut[k] : cut[k + 1]]
-            if (found := self.shard(int(k))) is None:
-                continue
+        if (found := self.shard(k)) is not None:
             p, prints, counts, firsts = found
-            n = p.number(h[rows])
+            n = p.number(h)
             ok = n >= 0
-            ok[ok] = prints[n[ok]] == _print(h[rows[ok]])
-            count[rows[ok]], first[rows[ok]] = counts[n[ok]], firsts[n[ok]]
+            ok[ok] = prints[n[ok]] == _print(h[ok])
+            count[ok], first[ok] = counts[n[ok]], firsts[n[ok]]
         return count, first
 
 
-_open: dict[str, Index] = {}
+def probes(src: DataFrame, shards: int, least: int = 1) -> DataFrame:
+    """(shard, h, place, row): the distinct line hashes of each row of (place, text, row), by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off, _ = kernel.utf8(b.column(1))
+            place, row = np.asarray(b.column(0)), np.asarray(b.column(2))
+            for i, j in kernel.passes(off):
+                x = lines_of(data[off[i] : off[j]], off[i : j + 1] - off[i], least)
+                own = np.flatnonzero(x.h)
+                h, d = x.h[own].view(np.int64), x.doc[own]
+                order = np.lexsort((h, d))
+                h, d = h[order], d[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)]
+                h, d = h[new], d[new] + i
+                yield pa.RecordBatch.from_arrays([pa.array(np.mod(h, shards).astype(np.int32)), pa.array(h), pa.array(place[d]), pa.array(row[d])], names=["shard", "h", "place", "row"])
+
+    return src.mapInArrow(run, "shard int, h long, place long, row long").hint("rebalance", "shard").sortWithinPartitions("shard")
+
+
+def answers(index: Index, batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(row, h, own) of the probes of repeated lines; ``own`` where the line's first document is the probe's."""
+    for b in batches:
+        shard, h, place, row = (np.asarray(c) for c in b.columns)
+        cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+        for i, j in zip(cut[:-1], cut[1:]):
+            count, first = index.probe(int(shard[i]), h[i:j].view(np.uint64))
+            often = np.flatnonzero(count > most)
+            at = often + i
+            yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(h[at]), pa.array(first[often] == place[at])], names=["row", "h", "own"])
+
 
+def repeated(probed: DataFrame, folder: str, most: int) -> DataFrame:
+    """(row, gone, once): for each row the hashes of which all lines go, and those of which the first stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from answers(Index(folder), batches, most)
 
-def _index(folder: str, shards: int) -> Index:
-    """This worker's index, kept from task to task."""
-    if folder not in _open:
-        _open.clear()
-        _open[folder] = Index(folder, shards)
-    return _open[folder]
+    found = probed.mapInArrow(run, "row long, h long, own boolean")
+    return found.groupBy("row").agg(F.expr("collect_set(h) FILTER (WHERE NOT own)").alias("gone"), F.expr("collect_set(h) FILTER (WHERE own)").alias("once"))
 
 
-def kept_lines(x: Lines, place: np.ndarray, index: Index, most: int) -> np.ndarray:
-    """Which lines stay."""
+def _listed(lists: pa.Array, x: Lines) -> np.ndarray:
+    """Lines whose hash is in their document's list."""
+    lists = lists.fill_null([]) if lists.null_count else lists
+    size, flat = np.diff(np.asarray(lists.offsets)), np.asarray(lists.flatten()).view(np.uint64)
+    if not len(flat):
+        return np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        both = lambda h, d: kernel.mix64(h + d.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        own = np.flatnonzero((x.h != 0) & (size[x.doc] > 0))
+        return own[np.isin(both(x.h[own], x.doc[own]), both(flat, np.repeat(np.arange(len(size)), size)))]
+
+
+def kept_lines(x: Lines, gone: pa.Array, once: pa.Array) -> np.ndarray:
+    """Which lines stay, given each document's lists."""
     keep = np.ones(len(x.h), bool)
-    own = np.flatnonzero(x.h)
-    count, first = index.probe(x.h[own])
-    often = np.flatnonzero(count > most)
-    rows = own[often]
+    keep[_listed(gone, x)] = False
+    rows = _listed(once, x)
     keep[rows] = False
-    # where a line's first document is this one, its first place here stays
-    here = first[often] == place[x.doc[rows]]
-    rows = rows[here]
     order = np.lexsort((rows, x.h[rows], x.doc[rows]))
     r = rows[order]
     new = np.append(True, (x.h[r[1:]] != x.h[r[:-1]]) | (x.doc[r[1:]] != x.doc[r[:-1]]))[: len(r)]
@@ -270,43 +301,44 @@ def kept_lines(x: Lines, place: np.ndarray, index: Index, most: int) -> np.ndarr
     return keep
 
 
-def deduplicated(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS, least: int = MIN_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS, least: int = 1) -> DataFrame:
     """All rows and columns of ``docs`` with lines removed from the text, and two more: ``lines_before`` and ``lines_removed``.
 
     Line feeds part lines. Lines are the same that agree in all bytes but blanks (space, tab, carriage
     return, form feed, vertical tab) around. One that occurs more than ``most`` times in all rows
     stays only at its first place in the row of the smallest id that has it; rows
-    that share that id each keep one. Lines under ``least`` bytes always stay. Null ids come last. A null
+    that share that id each keep one. Blank lines always stay, and lines under ``least`` bytes where that is given. Null ids come last. A null
     text stays null, with no lines; an empty one is one line. Texts are
     read whole; an empty table gives none. Two added columns replace any of those names.
     """
-    folder, shards = build_index(line_counts(docs, id_col, text_col, least), most, shard_keys)
+    row = F.xxhash64(F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)), docs[text_col].cast("string")).alias("row")  # rows alike in both lose the same
+    folder, shards = build_index(line_counts(docs, id_col, text_col, least), shard_keys)
+    lost = repeated(probes(_source(docs, id_col, text_col, row), shards, least), folder, most)
     others = [c for c in docs.columns if c not in ("lines_before", "lines_removed")]
-    whole = _source(docs, id_col, text_col, *(docs[c].alias(f"c{k}") for k, c in enumerate(others) if c != text_col))
+    whole = _source(docs, id_col, text_col, row, *(docs[c].alias(f"c{k}") for k, c in enumerate(others) if c != text_col)).drop("place")
     names = {c: (f"c{k}" if c != text_col else "text") for k, c in enumerate(others)}
-    schema = whole.drop("place", "text").schema.add("text", "string").add("lines_before", "long").add("lines_removed", "long")
+    schema = whole.drop("row", "text").schema.add("text", "string").add("lines_before", "long").add("lines_removed", "long")
+    whole = whole.join(lost, "row", "left").select("text", "gone", "once", *(c for c in whole.columns if c not in ("row", "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(folder, shards)
         for b in batches:
-            data, off, null = kernel.utf8(b.column(1))
-            place = np.asarray(b.column(0))
+            data, off, null = kernel.utf8(b.column(0))
             for i, j in kernel.passes(off):
                 own = data[off[i] : off[j]]
                 x = lines_of(own, off[i : j + 1] - off[i], least)
-                keep = kept_lines(x, place[i:j], index, most)
+                keep = kept_lines(x, b.column(1).slice(i, j - i), b.column(2).slice(i, j - i))
                 text, at = without(own, x, keep)
                 lines = np.diff(np.append(x.first, len(keep)))
                 gone = lines - np.add.reduceat(keep, x.first, dtype=np.int64)
                 lines[null[i:j]] = 0
                 mask = pa.array(~null[i:j]).buffers()[1] if null[i:j].any() else None
                 out = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(text), mask).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[2:]), out, pa.array(lines), pa.array(gone)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[3:]), out, pa.array(lines), pa.array(gone)], names=schema.names)
 
     return whole.mapInArrow(run, schema).select(*(F.col(names[c]).alias(c) for c in others), "lines_before", "lines_removed")
 
 
-def without_repeated_lines(docs: DataFrame, most: int = MOST, least: int = MIN_BYTES) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, most: int = MOST, least: int = 1) -> DataFrame:
     """``docs`` with its columns after ``deduplicated``, n_chars set anew, less the rows that lost lines and have only blanks left."""
     d = deduplicated(docs, most, least=least).where("lines_removed = 0 or trim(BOTH ' \t\r\n' FROM text) <> ''")
     if "n_chars" in docs.columns:
@@ -335,5 +367,5 @@ WITH line AS (
   SELECT *, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS place FROM keyed
 )
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE keep), '') AS text, count(*) AS lines_before, count(*) FILTER (WHERE NOT keep) AS lines_removed
-FROM (SELECT *, strlen(k) < {MIN_BYTES} OR n <= {MOST} OR place = 1 AS keep FROM placed) GROUP BY doc_id
+FROM (SELECT *, k = '' OR n <= {MOST} OR place = 1 AS keep FROM placed) GROUP BY doc_id
 """

@@ -87,7 +87,7 @@ def brute_lines(rows, most):
     for k, (i, t) in enumerate(rows):
         for p, line in enumerate([] if t is None else t.split("\n")):
             key = line.strip(" \t\r\f\v")
-            if len(key.encode()) >= linededup.MIN_BYTES:
+            if key:
                 where.setdefault(key, []).append(i)
     out = []
     for i, t in rows:
@@ -111,11 +111,27 @@ def test_line_dedup_against_brute_force(spark):
     got = linededup.deduplicated(d, 6, shard_keys=4)
     assert sorted(repr((x.doc_id, x.text, x.lines_before, x.lines_removed)) for x in got.collect()) == sorted(map(repr, brute_lines(rows, 6)))
     assert set(got.columns) == {*d.columns, "lines_before"}
+    got = linededup.deduplicated(d, shard_keys=4)
+    assert sorted(repr((x.doc_id, x.text, x.lines_before, x.lines_removed)) for x in got.collect()) == sorted(map(repr, brute_lines(rows, linededup.MOST)))
     kept = linededup.without_repeated_lines(d)
     assert kept.columns == d.columns and 102 in {x.doc_id for x in kept.collect()} and 100 in {x.doc_id for x in kept.collect()}
     assert linededup.deduplicated(d.where("false")).count() == 0
 
 
+def test_a_task_meets_a_shard_once(spark):
+    r = random.Random(8)
+    d = docs(spark, [(k, "\n".join(f"line {r.randrange(900)}" for _ in range(20))) for k in range(100)])
+    folder, shards = linededup.build_index(linededup.line_counts(d), 16)
+    src = d.selectExpr("doc_id AS place", "text", "doc_id AS row")
+    index = linededup.Index(folder)
+    probed = linededup.probes(src, shards).coalesce(1).sortWithinPartitions("shard").toArrow()
+    found = pa.Table.from_batches(linededup.answers(index, probed.to_batches(64), 1))
+    assert shards > 40 and index.loads == len(set(probed["shard"].to_pylist())) <= shards
+    lines = [set(x.text.split("\n")) for x in d.collect()]
+    all_lines = [line for x in d.collect() for line in x.text.split("\n")]
+    assert found.num_rows == sum(all_lines.count(line) > 1 for x in lines for line in x)
+
+
 def test_null_ids_come_last(spark):
     line = "the very same long line"
     got = linededup.deduplicated(docs(spark, [(None, line), (5, line), (2, line)]), 1)
