@@ -10,7 +10,8 @@ sketches, and with p the share of bits that differ, similarity is
 Copies that agree in all words are folded first, by digest, so that their
 number never multiplies candidates. Within a band's bucket each document is
 held against the bucket's first; only where that fails, against all members
-that aren't yet in its component, so no candidate is left out.
+that aren't yet in its component, so no candidate is left out. Buckets that hold much of the corpus are
+dealt to parts with a first each, which meet the bucket's; comparisons across components go by cells.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ SHINGLE = 3
 SAMPLES, ROWS = 256, 4
 BITS = 1024
 THRESHOLD = 0.5
+#: Buckets that hold about this share of all rows by band are dealt to PARTS; so many at most can.
+HOT_SHARE, PARTS = 2.0**-14, 256
+#: Members of a bucket that one side of a comparison across components holds.
+CELL = 4096
 
 _WORDS64 = BITS // 64
 _SIGNATURE = "doc_id long, digest_a long, digest_b long, sketch array<long>, bands array<long>"
@@ -133,8 +138,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(df: DataFrame, large: bool) -> DataFrame:
         both = df.union(df.select("v", "u")) if large else df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        x = both.withColumn("m", low)
+        x = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))  # no window: one node may have a third of all edges
         if large:
             return x.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return x.select("v", "m").union(x.select("u", "m")).where("v <> m").distinct().toDF("u", "v")
@@ -157,14 +161,18 @@ _MIXED = "a long, b long"
 
 
 def _across(limit: int):
-    """For one bucket: pairs that verify across components, enough to join all that belong together."""
+    """For one cell: pairs that verify across components, enough to join all that belong together.
+
+    A cell has the members of one side, or of two that are held against each other.
+    """
 
     def pairs(table: pa.Table) -> pa.Table:
-        ids, label = np.asarray(table["doc_id"]), np.asarray(table["label"])
+        ids, label, side = (np.asarray(table[c]) for c in ("doc_id", "label", "side"))
         sk = np.asarray(table["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(len(ids), _WORDS64)
         order = np.lexsort((ids, label))
-        ids, label, sk = ids[order], label[order], sk[order]
+        ids, label, sk, side = ids[order], label[order], sk[order], side[order]
         group = np.unique(label, return_inverse=True)[1]
+        two = len(np.unique(side)) > 1
         parent = np.arange(group[-1] + 1)
 
         def root(x: int) -> int:
@@ -175,9 +183,9 @@ def _across(limit: int):
 
         out_a, out_b = [], []
         for k in range(len(ids) - 1):
-            rest = slice(int(np.searchsorted(group, group[k], side="right")), None)
-            near = np.flatnonzero(np.bitwise_count(sk[rest] ^ sk[k]).sum(1, dtype=np.int32) <= limit) + rest.start
-            for j in near:
+            rest = np.arange(int(np.searchsorted(group, group[k], side="right")), len(ids))
+            rest = rest[side[rest] != side[k]] if two else rest
+            for j in rest[np.bitwise_count(sk[rest] ^ sk[k]).sum(1, dtype=np.int32) <= limit]:
                 x, y = root(group[k]), root(group[j])
                 if x != y:
                     parent[max(x, y)] = min(x, y)
@@ -188,7 +196,17 @@ def _across(limit: int):
     return pairs
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _by_bucket(texts: DataFrame, least: int) -> DataFrame:
+    """(text, bucket, part): each text's buckets. ``part`` is 0 but for buckets that hold much of all rows, and more than ``least``."""
+    rows = texts.select("text", F.explode("bands").alias("bucket"))
+    top = int(2 / HOT_SHARE)
+    found = rows.agg(F.expr(f"filter(approx_top_k(bucket, {top}, {2 * top}), x -> x.count > {least})").alias("top"), F.count("*").alias("n")).first()  # of bounded size
+    hot = [r["item"] for r in found["top"] or () if r["count"] > found["n"] * HOT_SHARE]
+    cell = F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int") + 1
+    return rows.withColumn("part", F.when(F.col("bucket").isin(hot), cell).otherwise(0) if hot else F.lit(0))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
     """(doc_id, kept_id, similarity): each document that repeats one kept, which has the smallest id of its group.
 
     Groups are the connected components of pairs whose estimated similarity
@@ -199,38 +217,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents without words (null, empty, only punctuation) and rows without an
     id are in no group. Fewer than three words make one shingle. Case and
     punctuation don't matter. Rows that repeat an id are one document; where
-    their texts differ, any of them can make it part of a group. Long texts are
+    their texts differ, any of them can make it part of a group, and ``similarity`` is 1 where
+    the two documents share a text, else between each's text of the least digest. Long texts are
     read whole. Other columns aren't read. An empty table has no groups.
     """
     limit = most_differing(threshold)
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
     sig = written(src.mapInArrow(_signatures, _SIGNATURE), "signatures")
+    # a text is one digest, named by the smallest id that has it; ids with several texts are in several
     first = sig.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("rep"))
     copies = sig.select("doc_id", "digest_a", "digest_b").join(first, ["digest_a", "digest_b"]).select("doc_id", "rep")
-    # one row for each folded document, with what the next steps need
-    folded = sig.groupBy("digest_a", "digest_b").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("x")).select("x.*")
-    star = folded.select("doc_id", F.explode("bands").alias("bucket"))
-    star = star.withColumn("leader", F.min("doc_id").over(Window.partitionBy("bucket"))).withColumn("last", F.max("doc_id").over(Window.partitionBy("bucket")))
-    star = written(star.where("leader <> last").select("doc_id", "bucket", "leader"), "buckets")
-
-    sketch = sig.groupBy("doc_id").agg(F.first("sketch").alias("sketch"))
-    pairs = star.where("doc_id <> leader").select("doc_id", "leader").distinct()
-    judged = pairs.join(sketch, "doc_id").withColumnRenamed("sketch", "s").join(sketch.select(F.col("doc_id").alias("leader"), F.col("sketch").alias("t")), "leader")
-    judged = written(judged.select("doc_id", "leader", (differing("s", "t") <= limit).alias("near")), "judged")
-    edges = judged.where("near").select("doc_id", "leader").union(copies.where("doc_id <> rep"))
+    text = F.struct("doc_id", F.col("digest_a").alias("digest")).alias("text")
+    folded = sig.groupBy("digest_a", "digest_b").agg(F.min_by(F.struct("doc_id", "digest_a", "bands", "sketch"), "doc_id").alias("x")).select("x.*").select(text, "bands", "sketch")
+    folded = written(folded, "texts")
+
+    star = _by_bucket(folded.select("text", "bands"), cell)
+    own = Window.partitionBy("bucket", "part")
+    star = star.withColumn("leader", F.min("text").over(own)).withColumn("last", F.max("text").over(own)).where("leader <> last or part > 0")
+    star = written(star.select("text", "bucket", "part", "leader"), "buckets")
+    tops = star.where("part > 0").groupBy("bucket", "part").agg(F.first("leader").alias("text"))  # at most PARTS of each hot bucket
+    tops = tops.withColumn("leader", F.min("text").over(Window.partitionBy("bucket"))).select("text", "bucket", "leader")
+    star = star.select("text", "bucket", "leader").union(tops)
+
+    sketch = folded.select("text", "sketch")
+    pairs = star.where("text <> leader").select("text", "leader").distinct()
+    judged = pairs.join(sketch, "text").withColumnRenamed("sketch", "s").join(sketch.select(F.col("text").alias("leader"), F.col("sketch").alias("t")), "leader")
+    judged = written(judged.select("text", "leader", (differing("s", "t") <= limit).alias("near")), "judged")
+    edges = judged.where("near").select("text.doc_id", "leader.doc_id").union(copies.where("doc_id <> rep"))
     label = components(edges)
 
-    mixed = star.join(judged.where(~F.col("near")), ["doc_id", "leader"], "left_semi").select("bucket").distinct()
-    member = star.join(mixed, "bucket", "left_semi").select("doc_id", "bucket").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "bucket", F.coalesce("root", "doc_id").alias("label"))
-    across = Window.partitionBy("bucket")
-    member = member.withColumn("lo", F.min("label").over(across)).withColumn("hi", F.max("label").over(across)).where("lo <> hi")
-    found = member.select("doc_id", "bucket", "label").join(sketch, "doc_id").groupBy("bucket").applyInArrow(_across(limit), _MIXED)
-    root = components(label.select("node", "root").union(found))
-
-    s = sketch.select(F.col("doc_id").alias("node"), F.col("sketch").alias("s"))
-    t = sketch.select(F.col("doc_id").alias("root"), F.col("sketch").alias("t"))
+    mixed = star.join(judged.where(~F.col("near")), ["text", "leader"], "left_semi").select("bucket").distinct()
+    member = star.join(mixed, "bucket", "left_semi").select("text", "bucket").distinct().join(label.select(F.col("node").alias("id"), "root"), F.col("text.doc_id") == F.col("id"), "left")
+    member = member.select("text", "bucket", F.coalesce("root", "text.doc_id").alias("label"))
+    sides = member.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / cell).cast("int").alias("sides")).where("lo <> hi")
+    member = member.join(sides.select("bucket", "sides"), "bucket").withColumn("side", F.pmod(F.xxhash64("text"), F.col("sides")).cast("int"))
+    # a side meets itself and every other: the cell is named by the lower side and the higher
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("text", "bucket", "label", "side", F.least("side", "other").alias("lower"), F.greatest("side", "other").alias("higher"))
+    found = member.join(sketch, "text").select("bucket", "lower", "higher", "side", "text.doc_id", "label", "sketch").groupBy("bucket", "lower", "higher").applyInArrow(_across(limit), _MIXED)
+    root = written(components(label.select("node", "root").union(found)), "groups")
+
+    by_id = sig.groupBy("doc_id").agg(F.min_by("sketch", "digest_a").alias("sketch"), (F.min("digest_a") < F.max("digest_a")).alias("several"))
+    s = by_id.select(F.col("doc_id").alias("node"), F.col("sketch").alias("s"), F.col("several").alias("s_several"))
+    t = by_id.select(F.col("doc_id").alias("root"), F.col("sketch").alias("t"), F.col("several").alias("t_several"))
     estimate = F.round(F.greatest(F.lit(0.0), 1 + BITS / (4 * SAMPLES) * F.log(F.greatest(F.lit(1e-12), 1 - 2 * differing("s", "t") / BITS))), 4)
-    return root.join(s, "node").join(t, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"), estimate.alias("similarity"))
+    both = root.join(s, "node").join(t, "root").select("node", "root", estimate.alias("similarity"), (F.col("s_several") | F.col("t_several")).alias("several"))
+    digests = sig.select("doc_id", "digest_a").distinct()
+    same = both.where("several").join(digests, F.col("node") == F.col("doc_id")).select("node", "root", "digest_a")
+    same = same.join(digests.select(F.col("doc_id").alias("root"), "digest_a"), ["root", "digest_a"]).select("node", F.lit(True).alias("same")).distinct()
+    return both.join(same, "node", "left").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"), F.when(F.coalesce("same", F.lit(False)), 1.0).otherwise(F.col("similarity")).alias("similarity"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

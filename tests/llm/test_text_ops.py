@@ -79,6 +79,54 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(d.where("false")).count() == 0
 
 
+def estimated(texts):
+    """Odd sketch similarities of all pairs, and the groups that they make."""
+    n = len(texts)
+    _, _, sketch, bands = neardup.signatures_of(pa.array(texts))
+    sk = sketch.view(np.uint64)
+    bits = np.bitwise_count(sk[:, None] ^ sk[None]).sum(2, dtype=np.int64)
+    share = (bands[:, None] == bands[None]).any(2)
+    near = share & (bits <= neardup.most_differing(neardup.THRESHOLD))
+    label = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            if near[a, b] and label[a] != label[b]:
+                x, y = sorted((label[a], label[b]))
+                label = [x if v == y else v for v in label]
+    return label, neardup.similarity(bits)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_near_duplicates_about_the_threshold(spark, monkeypatch, hot):
+    """All pairs by plain comparison, with copies that drift away from each other; small cells and hot buckets give the same."""
+    texts = []
+    for g in range(12):
+        base = words(60, 1000 + g)
+        for c in range(14):
+            r = random.Random(g * 50 + c)
+            x = list(base)
+            for p in r.sample(range(60), r.randrange(2, 16)):
+                x[p] = f"edit{g}_{c}_{p}"
+            texts.append(" ".join(x))
+    label, similar = estimated(texts)
+    assert 12 < len(set(label)) < len(texts)
+    cell = neardup.CELL
+    if hot:
+        monkeypatch.setattr(neardup, "HOT_SHARE", 2.0**-10)
+        monkeypatch.setattr(neardup, "PARTS", 3)
+        cell = 3
+    got = {r.doc_id: (r.kept_id, r.similarity) for r in neardup.near_duplicates(docs(spark, list(enumerate(texts))), cell=cell).collect()}
+    assert got == {i: (k, round(float(similar[i, k]), 4)) for i, k in enumerate(label) if i != k}
+
+
+def test_ids_with_several_texts(spark):
+    a, b, c = (" ".join(words(80, k)) for k in (71, 72, 73))
+    rows = [(1, a), (2, a), (2, b), (1, c), (3, b), (4, c + " end"), (5, " ".join(words(80, 74))), (5, None)]
+    for order in (rows, rows[::-1]):
+        got = {r.doc_id: (r.kept_id, r.similarity) for r in neardup.near_duplicates(docs(spark, order)).collect()}
+        assert set(got) == {2, 3, 4} and {k for k, _ in got.values()} == {1} and got[2][1] == 1.0
+
+
 # line dedup
 
 
