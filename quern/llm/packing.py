@@ -72,13 +72,13 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, bin_cost:
     return of, [caps[bisect_left(caps, u)] for u in used]
 
 
-def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, vocabulary_path: str = tokens.VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, vocabulary_path: str = tokens.VOCABULARY, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row for each bin: (pack_group, bin, capacity, n_tokens, doc_ids, starts, lengths, tokens).
 
     A document and its end make a sequence, cut into pieces of the largest
     capacity where it is longer; piece k of a bin is ``lengths[k]`` tokens of
     ``doc_ids[k]`` from token ``starts[k]`` on, and ``tokens`` holds all pieces in that
-    order. Every text is packed whole, once for each row that holds it. Null and empty texts have nothing to
+    order. Documents are dealt to groups of about ``group_bytes`` of text, and bins hold documents of one group. Every text is packed whole, once for each row that holds it. Null and empty texts have nothing to
     pack. A null id packs as null. Ties are broken by id, then by text, so the
     result depends on the rows alone, not on how they are stored. Other columns
     aren't read. An empty table gives no bins.
@@ -87,7 +87,7 @@ def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost:
     vocabulary = tokens.read_vocabulary(vocabulary_path)
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("text is not null and text <> ''")
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // GROUP_BYTES))
+    groups = max(1, -(-total // group_bytes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens.tokenizer(vocabulary)
@@ -126,7 +126,7 @@ def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost:
             flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate([pieces[k] for k in own]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(c), pa.int32()), pa.array(np.arange(a, a + len(c), dtype=np.int32)), pa.array(capacity[a : a + 512], pa.int32()), pa.array(n.astype(np.int32)), *lists, flat], names=[x.split()[0] for x in _PACKED.split(", ")])
 
-    group = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long"))), F.lit(groups)).cast("int")
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")  # by text too: one id, or none, may be that of many rows
     return src.select(group.alias("pack_group"), "doc_id", "text").mapInArrow(encode, "pack_group int, doc_id long, ids binary").groupBy("pack_group").applyInArrow(bins, _PACKED)
 
 
