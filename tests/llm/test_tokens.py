@@ -146,11 +146,15 @@ def test_mixing_against_brute_force(spark):
     for r in got:
         assert len(r.tokens) == block and set(r.tokens[r.n_tokens :]) <= {T.eos}
         assert blocks.setdefault((r.source, r.block), r.tokens) == r.tokens
-    # the draws of each shard, in sources' order
+    # the draws of each shard: the same pseudorandom numbers, held against the running sum of weights
     order = sorted(total, key=lambda s: (s is None, s or ""))
-    w = np.array([float(total[s]) ** mixing.FLATTEN for s in order])
+    share, whole = mixing.shares(spark.createDataFrame([(s, float(total[s]) ** mixing.FLATTEN) for s in order], "source string, weight double"))
+    spans = {r.source: (r.low, r.high) for r in share.collect()}
+    assert sorted(spans.values())[0][0] == 0 and all(a[1] == b[0] for a, b in zip(sorted(spans.values()), sorted(spans.values())[1:])) and max(h for _, h in spans.values()) == whole
     for shard in {r.shard for r in got}:
-        assert [sum(r.shard == shard and r.source == s for r in got) for s in order] == mixing.draws(shard, w, slots, mixing.SEED).tolist()
+        at = [int(u * whole) for u in mixing.uniforms(shard, slots, mixing.SEED)]
+        for s in order:
+            assert sum(r.shard == shard and r.source == s for r in got) == sum(spans[s][0] <= x < spans[s][1] for x in at)
     # each pass over a source takes each block once, and a complete one has all tokens
     for s in order:
         epochs = {}
@@ -178,3 +182,35 @@ def test_mixing_weights_and_documents(spark):
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"] and got.select("doc_id").distinct().count() == 1280
     assert all(r.n_chars == len(r.text) for r in got.collect())
     assert mixing.mixed(d.where("false")).count() == 0 and mixing.mixed(d, {"s0": 0}).count() == 0
+    assert mixing.mixed_documents(d.where("false")).count() == 0
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.mixed(d, {"s0": bad})
+
+
+def test_mixed_documents_hold_every_character_once(spark):
+    """A pass over each source, put together again, is its texts, wherever blocks cut characters; nulls, repeats and a long text included."""
+    rows = [(k, "é🙂漢字 " * (3 + k % 5) + f"{k}", "s" if k % 2 else None) for k in range(40)] + [(3, "same", "s"), (3, "same", "s"), (None, "no id 🙂", "s"), (50, None, "s"), (51, "", None), (52, "長い🙂" * 20000, "s")]
+    d = docs(spark, rows)
+    kw = {"block": 7, "slots": 64, "stream_blocks": 16}
+    text = {(r.doc_id // 64, r.doc_id % 64): r.text for r in mixing.mixed_documents(d, **kw).collect()}
+    slots = mixing.mixed(d, **kw).collect()
+    whole = {s: max(r.epoch for r in slots if r.source == s) for s in ("s", None)}
+    for s in ("s", None):
+        once = {r.block: text[r.shard, r.slot] for r in slots if r.source == s and (r.epoch == 0 or whole[s] == 0)}
+        want = Counter(c for _, t, x in rows if x == s for c in t or "")
+        got = Counter(c for t in once.values() for c in t.replace("\n\n", ""))
+        if whole[s] > 0:
+            assert got == want
+        else:
+            assert not got - want
+    assert max(whole.values()) > 0
+
+
+def test_many_sources_and_many_passes(spark):
+    """More sources than a shard has slots, and one tiny source drawn over and over by several tasks."""
+    d = docs(spark, [(k, f"text {k}", f"s{k}") for k in range(300)])
+    got = mixing.mixed(d, block=8, slots=32, shards=4).collect()
+    assert len(got) == 128 and len({(r.shard, r.slot) for r in got}) == 128
+    got = mixing.mixed(d, {"s7": 1.0}, block=8, slots=32, shards=4).collect()
+    assert len(got) == 128 and {r.doc_ids[0] for r in got} == {7} and {r.epoch for r in got} == set(range(128))
