@@ -3,7 +3,7 @@
 The reader goes through a file once, from its start: bytes arrive in blocks, an
 incremental zlib decompressor ends with each member, and within the member
 the header block gives the content's length. The content's digest, and of
-HTTP responses also the payload's, is computed and held against the header. Memory holds one record, whatever the file's size.
+HTTP responses also the payload's, is computed as bytes come and held against the header. Memory holds one part of a record, whatever the sizes of record and file.
 
 The writer makes one file for each task. Only files of tasks that ended well are in its
 manifest, so that a lost executor leaves no file that a reader takes.
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.work import new_folder
 
-#: Bytes read and decompressed at a time; the longest header block, and zlib's level in writing.
-READ_BYTES, HEADER_BYTES, LEVEL = 1 << 20, 1 << 20, 6
-#: Records of a file need no more than this for one to hold; a longer content is an error of that record.
-CONTENT_BYTES = 1 << 30
+#: Bytes read and decompressed at a time, and zlib's level in writing.
+READ_BYTES, LEVEL = 1 << 20, 6
+#: A longer payload comes in parts of so many bytes; and the longest that is read in one row.
+PART_BYTES, ROW_BYTES = 64 << 20, 2_000_000_000
 
 _DIGESTS = {"sha1": (hashlib.sha1, "b32"), "sha256": (hashlib.sha256, "b32"), "md5": (hashlib.md5, "b32")}
 
@@ -38,13 +38,30 @@ def digest(data: bytes, algorithm: str = "sha1") -> str:
     return f"{algorithm}:{base64.b32encode(_DIGESTS[algorithm][0](data).digest()).decode()}"
 
 
+class _Check:
+    """Bytes held against a declared digest, in base 32 or hex."""
+
+    def __init__(self, declared: str | None) -> None:
+        name, _, self.value = (declared or "").strip().partition(":")
+        self.hash = _DIGESTS[name.lower()][0]() if name.lower() in _DIGESTS and self.value else None
+
+    def add(self, data: bytes) -> None:
+        if self.hash:
+            self.hash.update(data)
+
+    def right(self) -> bool | None:
+        """None where no digest is declared, or of an algorithm that isn't known."""
+        if self.hash is None:
+            return None
+        d = self.hash.digest()
+        return self.value.rstrip("=").upper() == base64.b32encode(d).decode().rstrip("=") or self.value.lower() == d.hex()
+
+
 def matches(declared: str, data: bytes) -> bool | None:
-    """Whether data has the declared digest, in base 32 or hex; None for an algorithm that isn't known."""
-    name, _, value = declared.strip().partition(":")
-    if name.lower() not in _DIGESTS or not value:
-        return None
-    d = _DIGESTS[name.lower()][0](data).digest()
-    return value.rstrip("=").upper() == base64.b32encode(d).decode().rstrip("=") or value.lower() == d.hex()
+    """Whether data has the declared digest; None for an algorithm that isn't known."""
+    c = _Check(declared)
+    c.add(data)
+    return c.right()
 
 
 def record(kind: str, url: str, date: str, content: bytes, payload: bytes | None = None, extra: dict[str, str] | None = None, record_id: str | None = None) -> bytes:
@@ -94,58 +111,91 @@ class _Members:
         return b""
 
 
-def read_records(f: BinaryIO) -> Iterator[dict]:
-    """Records of an open file: offset, headers (lower-cased names, the last of a name counts), content, error.
-
-    A fault within a member is that record's ``error``, and the next member
+class _Reading:
+    """A record whose content comes bit by bit, and the rows that it makes."""
+
+    def __init__(self, offset: int, part_bytes: int) -> None:
+        self.offset, self.part_bytes, self.headers = offset, part_bytes, {}
+        self.part, self.size, self.held, self.head = 0, 0, bytearray(), None
+        self.checks = _Check(None), _Check(None)
+
+    def begin(self, block: bytes) -> None:
+        """Takes the header block; the last of a name counts."""
+        lines = block.decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")
+        self.headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        self.checks = _Check(self.headers.get("warc-block-digest")), _Check(self.headers.get("warc-payload-digest"))
+        # of an HTTP message the body is the payload: what comes before it is only looked through
+        self.head = bytearray() if self.headers.get("content-type", "").lower().startswith("application/http") else None
+
+    def add(self, data: bytes) -> Iterator[dict]:
+        self.size += len(data)
+        self.checks[0].add(data)
+        if self.head is not None:
+            self.head += data
+            if (cut := self.head.find(b"\r\n\r\n")) < 0:
+                del self.head[:-3]
+                return
+            data, self.head = bytes(self.head[cut + 4 :]), None
+        self.checks[1].add(data)
+        self.held += data
+        while len(self.held) > self.part_bytes:
+            yield self.row(bytes(self.held[: self.part_bytes])) | {"last": False}
+            del self.held[: self.part_bytes]
+            self.part += 1
+
+    def row(self, payload: bytes) -> dict:
+        return {"offset": self.offset, "headers": self.headers, "part": self.part, "last": True, "payload": payload, "content_length": None, "block_ok": None, "payload_ok": None, "error": None}
+
+    def end(self, error: str | None = None) -> dict:
+        """The last row, with what only the whole content tells."""
+        return self.row(bytes(self.held)) | {"content_length": self.size, "block_ok": self.checks[0].right(), "payload_ok": self.checks[1].right(), "error": error}
+
+
+def read_records(f: BinaryIO, part_bytes: int = PART_BYTES) -> Iterator[dict]:
+    """Rows of an open file: offset, headers (lower-cased names, the last of a name counts), part, last, payload, content_length, block_ok, payload_ok, error.
+
+    A record is one row, or several where its payload is longer than ``part_bytes``; lengths, verdicts and
+    errors are in the last. A fault within a member is that record's ``error``, and the next member
     follows; where the compressed bytes are damaged or end early, no later
     record can be found, and that record is the last.
     """
     m = _Members(f)
     while m.more():
-        found = {"offset": m.start, "headers": {}, "content": b"", "error": None}
+        r = _Reading(m.start, part_bytes)
         try:
-            buf = b""
-            while (cut := buf.find(b"\r\n\r\n")) < 0 and len(buf) <= HEADER_BYTES and (x := m.some()):
+            buf, cut, error = bytearray(), -1, None
+            while cut < 0 and buf[:5] == b"WARC/"[: len(buf)] and (x := m.some()):
+                seen = max(0, len(buf) - 3)
                 buf += x
+                cut = buf.find(b"\r\n\r\n", seen)
             if cut < 0 or not buf.startswith(b"WARC/"):
-                found["error"] = "no WARC header block"
+                error = "no WARC header block"
             else:
-                lines = buf[:cut].decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")
-                found["headers"] = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-                length = found["headers"].get("content-length", "")
-                if not (length.isascii() and length.isdigit()) or int(length) > CONTENT_BYTES:
-                    found["error"] = "no usable content length"
+                r.begin(bytes(buf[:cut]))
+                length = r.headers.get("content-length", "")
+                if not (length.isascii() and length.isdigit()):
+                    error = "no usable content length"
                 else:
-                    parts, have = [buf[cut + 4 :]], len(buf) - cut - 4
-                    while have < int(length) + 5 and (x := m.some()):
-                        parts.append(x)
-                        have += len(x)
-                    rest = b"".join(parts)
-                    found["content"] = rest[: int(length)]
-                    if have < int(length):
-                        found["error"] = "content shorter than its length"
-                    elif rest[int(length) :] != b"\r\n\r\n":
-                        found["error"] = "record doesn't end where its length says"
+                    left, chunk, after = int(length), bytes(buf[cut + 4 :]), b""
+                    del buf
+                    while True:
+                        own = chunk[:left]
+                        left -= len(own)
+                        after = (after + chunk[len(own) :])[:5]
+                        yield from r.add(own)
+                        if not (chunk := m.some()):
+                            break
+                    error = "content shorter than its length" if left else "record doesn't end where its length says" if after != b"\r\n\r\n" else None
             while m.some():
                 pass
         except (zlib.error, ValueError) as e:
-            found["error"] = f"damaged: {e}"[:200]
-            yield found
+            yield r.end(f"damaged: {e}"[:200])
             return
-        yield found
-
-
-def payload_of(headers: dict, content: bytes) -> bytes:
-    """An HTTP message's body; any other content as it is."""
-    if headers.get("content-type", "").lower().startswith("application/http"):
-        head, sep, body = content.partition(b"\r\n\r\n")
-        return body if sep else b""
-    return content
+        yield r.end(error)
 
 
-_READ = "path string, offset long, warc_type string, record_id string, date string, url string, headers map<string,string>, content_length long, block_ok boolean, payload_ok boolean, payload binary, error string"
-_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.string()]
+_READ = "path string, offset long, warc_type string, record_id string, date string, url string, headers map<string,string>, part int, last boolean, content_length long, block_ok boolean, payload_ok boolean, payload binary, error string"
+_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.string()]
 
 
 def _open(path: str) -> BinaryIO:
@@ -153,11 +203,12 @@ def _open(path: str) -> BinaryIO:
     return fs.open_input_file(at) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_stream(at, compression=None)
 
 
-def read_warc(paths: DataFrame, path_col: str = "path") -> DataFrame:
+def read_warc(paths: DataFrame, path_col: str = "path", part_bytes: int = PART_BYTES) -> DataFrame:
     """One row for each record of the files named in ``paths``, each file read by one task.
 
     Columns: path, offset of the member in the file, warc_type, record_id,
-    date, url, headers, content_length, block_ok, payload_ok, payload, error. A digest that
+    date, url, headers, part, last, content_length, block_ok, payload_ok, payload, error. A payload over ``part_bytes``
+    comes in several rows, numbered by ``part``, of which the last has the length and verdicts. A digest that
     isn't declared, or whose algorithm isn't known, is neither right nor wrong: null. A record whose
     digest is wrong keeps its payload and has no ``error``, which is for
     framing. An empty file and an empty table have no rows; a file named twice is
@@ -170,12 +221,10 @@ def read_warc(paths: DataFrame, path_col: str = "path") -> DataFrame:
         for b in batches:
             for path in b.column(0).to_pylist():
                 with _open(path) as f:
-                    for r in read_records(f):
-                        h, content = r["headers"], r["content"]
-                        p = payload_of(h, content)
-                        d, e = h.get("warc-block-digest"), h.get("warc-payload-digest")
-                        rows.append((path, r["offset"], h.get("warc-type"), h.get("warc-record-id"), h.get("warc-date"), h.get("warc-target-uri"), list(h.items()), len(content), matches(d, content) if d else None, matches(e, p) if e else None, p, r["error"]))
-                        held += len(p)
+                    for r in read_records(f, part_bytes):
+                        h = r["headers"]
+                        rows.append((path, r["offset"], h.get("warc-type"), h.get("warc-record-id"), h.get("warc-date"), h.get("warc-target-uri"), list(h.items()), *(r[k] for k in ("part", "last", "content_length", "block_ok", "payload_ok", "payload", "error"))))
+                        held += len(r["payload"])
                         if len(rows) >= 4096 or held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=names)
                             rows, held = [], 0
@@ -235,7 +284,7 @@ def pages_through_warc(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     files = write_warc(pages, new_folder(spark, "warc")).select("path")
     n = max(1, files.count())  # a row for each file
-    got = read_warc(files.repartition(n, "path"))
+    got = read_warc(files.repartition(n, "path"), part_bytes=ROW_BYTES)  # a body that came from a row fits one
     whole = F.col("warc_type") == "response"
     return got.select(
         F.col("headers")["warc-page-id"].cast("long").alias("page_id"), "url", F.when(whole, F.col("payload").cast("string")).alias("html"), F.when(whole, F.octet_length("payload").cast("long")).alias("content_length"),
