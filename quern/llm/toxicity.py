@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import kernel
+from quern.llm.work import written
 
 WINDOW, STRIDE = 64, 48
 HIDDEN, CHAR_DIM, WORD_DIM = 16, 8, 8
 BUCKETS = 1 << 15
-#: At most so many labelled documents of each class train the network.
-MAX_TOXIC, MAX_CLEAN = 1500, 2500
+#: At most so many labelled documents of each class train the network, and so many bytes of their texts.
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 2500, 12 << 20
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 
 _IN = CHAR_DIM + 2 + WORD_DIM + 1
@@ -86,8 +87,12 @@ def read(data: np.ndarray, off: np.ndarray) -> Words | None:
     k = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
     start = k * STRIDE
     length = np.minimum(WINDOW, count[doc] - start)
-    ids = inv[np.minimum(first[:-1][doc, None] + start[:, None] + np.arange(WINDOW), len(inv) - 1)]
-    return Words((uniq & np.uint64(BUCKETS - 1)).astype(np.int32), grams, gram_word, ids.astype(np.int32), length, doc)
+    inv = inv.astype(np.int32)
+    ids = np.empty((len(doc), WINDOW), np.int32)
+    for i in range(0, len(doc), 4096):  # some windows at a time
+        at = (first[:-1][doc[i : i + 4096]] + start[i : i + 4096])[:, None] + np.arange(WINDOW)
+        ids[i : i + 4096] = inv[np.minimum(at, len(inv) - 1)]
+    return Words((uniq & np.uint64(BUCKETS - 1)).astype(np.int32), grams, gram_word.astype(np.int32), ids, length, doc)
 
 
 def _gram_bounds(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +144,24 @@ def _run(p: np.ndarray, u: np.ndarray, ids: np.ndarray, mask: np.ndarray | None,
     return out
 
 
-def forward(m: dict, x: np.ndarray, w: Words, rows: np.ndarray | slice = slice(None), keep: dict | None = None) -> np.ndarray:
-    """A logit for each window of ``rows``."""
+def projected(m: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the words give the gates of either direction."""
+    return tuple(x @ m["wx"][:, c] + m["b"][c] for c in (slice(0, _G), slice(_G, None)))
+
+
+def logits(m: dict, x: np.ndarray, w: Words, size: int = 1024) -> np.ndarray:
+    """A logit for each window, ``size`` of them at a time."""
+    p = projected(m, x)
+    return np.concatenate([forward(m, p, w, slice(i, i + size)) for i in range(0, len(w.ids), size)])
+
+
+def forward(m: dict, p: tuple[np.ndarray, np.ndarray], w: Words, rows: np.ndarray | slice = slice(None), keep: dict | None = None) -> np.ndarray:
+    """A logit for each window of ``rows``, given what is projected of the words."""
     ids, length = w.ids[rows], w.length[rows]
     mask = np.arange(ids.shape[1]) < length[:, None]
-    p = x @ m["wx"] + m["b"]
     kf, kb = ([], []) if keep is not None else (None, None)
-    hf = _run(np.ascontiguousarray(p[:, :_G]), m["uf"], ids, None, False, kf)
-    hb = _run(np.ascontiguousarray(p[:, _G:]), m["ub"], ids, mask.astype(p.dtype), True, kb)
+    hf = _run(p[0], m["uf"], ids, None, False, kf)
+    hb = _run(p[1], m["ub"], ids, mask.astype(p[1].dtype), True, kb)
     s = hf @ m["v"][:HIDDEN] + hb @ m["v"][HIDDEN:]
     s[~mask.T] = -np.inf
     s -= s.max(0)
@@ -158,8 +173,18 @@ def forward(m: dict, x: np.ndarray, w: Words, rows: np.ndarray | slice = slice(N
     return pooled @ m["o"] + m["ob"]
 
 
+def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that rows belong at, and the sum of each one's."""
+    if not len(at):
+        return np.zeros(0, np.int64), rows[:0]
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[begin], np.add.reduceat(rows[order], begin)
+
+
 def gradient(m: dict, x: np.ndarray, w: Words, k: dict, d: np.ndarray) -> dict:
-    """Gradients of the parameters, for the loss's gradients ``d`` by logit."""
+    """Gradients of the parameters, for the loss's gradients ``d`` by logit; of embeddings the rows that have one, and theirs."""
     out = {"o": k["pooled"].T @ d, "ob": d.sum(keepdims=True)[0]}
     dp = d[:, None] * m["o"]
     dpx, dx, dv = np.zeros((len(x), 2 * _G), x.dtype), None, []
@@ -170,12 +195,13 @@ def gradient(m: dict, x: np.ndarray, w: Words, k: dict, d: np.ndarray) -> dict:
         dv.append(np.einsum("tn,tnh->h", ds, states))
         dh_all = k["a"][:, :, None] * dp[None, :, part] + ds[:, :, None] * m["v"][part]
         u, du, dh = m["u" + side], np.zeros_like(m["u" + side]), np.zeros_like(states[0])
-        dg = np.empty((len(dh), _G), x.dtype)
+        each = np.empty((k["ids"].shape[1], len(dh), _G), x.dtype)
         cols = slice(0, _G) if side == "f" else slice(_G, None)
         for t, h, z, r, n, an in reversed(k[side]):
             dh = dh + dh_all[t]
             if side == "b":
                 dh = dh * k["mask"][:, t, None]
+            dg = each[t]
             dn = dh * (1 - z) * (1 - n * n)
             dg[:, :HIDDEN] = dh * (h - n) * z * (1 - z)
             dg[:, HIDDEN : 2 * HIDDEN] = dn * an * r * (1 - r)
@@ -183,16 +209,16 @@ def gradient(m: dict, x: np.ndarray, w: Words, k: dict, d: np.ndarray) -> dict:
             through = dg.copy()
             through[:, 2 * HIDDEN :] *= r
             du += h.T @ through
-            np.add.at(dpx[:, cols], k["ids"][:, t], dg)
             dh = dh * z + through @ u.T
+        at, own = _summed(k["ids"].T.ravel(), each.reshape(-1, _G))
+        dpx[at, cols] = own
         out["u" + side] = du
     out["v"] = np.concatenate(dv)
     out["wx"], out["b"] = x.T @ dpx, dpx.sum(0)
     dx = dpx @ m["wx"].T
-    out["word"], out["char"] = np.zeros_like(m["word"]), np.zeros_like(m["char"])
-    np.add.at(out["word"], w.bucket, dx[:, CHAR_DIM + 2 : -1])
+    out["word"] = _summed(w.bucket, dx[:, CHAR_DIM + 2 : -1])
     n = np.maximum(np.bincount(w.gram_word, minlength=len(w.bucket)), 1)
-    np.add.at(out["char"], w.grams, (dx[:, :CHAR_DIM] / n[:, None])[w.gram_word])
+    out["char"] = _summed(w.grams, (dx[:, :CHAR_DIM] / n[:, None])[w.gram_word])
     return out
 
 
@@ -239,9 +265,12 @@ def _arrow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return data, off
 
 
-def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> dict:
+def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 0, labelled: tuple[int, int] | None = None) -> dict:
     """A model from labelled texts. Without documents of both classes it finds nothing toxic.
 
+    ``labelled`` is how many clean and toxic documents the sample stands for. The threshold is
+    of the best F1 over as many, so that it doesn't depend on how the sample was drawn.
+
     One half of the documents gives the odds, the other trains the network, so
     that the network learns how far to trust odds of documents it hasn't seen.
     """
@@ -254,8 +283,9 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     w = read(*_arrow([texts[i] for i in halves[0]]))
     if w is None:
         return m
-    word_doc = np.unique(np.repeat(w.doc, WINDOW)[(np.arange(WINDOW) < w.length[:, None]).ravel()].astype(np.int64) * len(w.bucket) + w.ids[np.arange(WINDOW) < w.length[:, None]])
-    doc, word = word_doc // len(w.bucket), word_doc % len(w.bucket)
+    pairs = [np.unique((w.doc[i : i + 4096, None] * np.int64(len(w.bucket)) + w.ids[i : i + 4096])[np.arange(WINDOW) < w.length[i : i + 4096, None]]) for i in range(0, len(w.ids), 4096)]
+    doc, word = np.divmod(np.unique(np.concatenate(pairs)), len(w.bucket))
+    del pairs
     m["word_odds"] = _odds([(w.bucket[word], doc)], toxic[halves[0]])
     m["gram_odds"] = _odds(_gram_parts(w, doc, word), toxic[halves[0]])
 
@@ -263,10 +293,11 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     if w is None:
         return m
     moments = {k: (np.zeros_like(m[k]), np.zeros_like(m[k])) for k in ("char", "word", "wx", "b", "uf", "ub", "v", "o", "ob")}
-    step = 0
+    grams_of = np.bincount(w.gram_word, minlength=len(w.bucket))
+    first_gram, step = np.cumsum(grams_of) - grams_of, 0
     for epoch in range(epochs + 1):
         x = inputs(m, w)
-        logit = np.concatenate([forward(m, x, w, slice(i, i + 4096)) for i in range(0, len(w.ids), 4096)])
+        logit = logits(m, x, w)
         best = np.lexsort((-logit, w.doc))
         best = best[np.unique(w.doc[best], return_index=True)[1]]
         if epoch == epochs:
@@ -277,23 +308,25 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
         for i in range(0, len(pick), BATCH):
             rows, keep = pick[i : i + BATCH], {}
             used, inv = np.unique(w.ids[rows], return_inverse=True)
-            new = np.full(len(w.bucket), -1)
-            new[used] = np.arange(len(used))
-            own = new[w.gram_word] >= 0
-            part = Words(w.bucket[used], w.grams[own], new[w.gram_word[own]], inv.reshape(len(rows), -1), w.length[rows], w.doc[rows])
+            n = grams_of[used]
+            own = np.repeat(first_gram[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            part = Words(w.bucket[used], w.grams[own], np.repeat(np.arange(len(used)), n), inv.reshape(len(rows), -1), w.length[rows], w.doc[rows])
             px = inputs(m, part)
-            q, t = _sigmoid(forward(m, px, part, keep=keep)), y[part.doc]
+            q, t = _sigmoid(forward(m, projected(m, px), part, keep=keep)), y[part.doc]
             d = ((q - t) * np.where(t > 0, weight, 1) / len(rows)).astype(np.float32)
             step += 1
             for k, g in gradient(m, px, part, keep, d).items():
+                at, g = g if isinstance(g, tuple) else (..., g)  # embeddings of words that the batch hasn't stay
                 a, b = moments[k]
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                m[k] = (m[k] - RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                a[at] += 0.1 * (g - a[at])
+                b[at] += 0.001 * (g * g - b[at])
+                m[k][at] -= RATE * (a[at] / (1 - 0.9**step)) / (np.sqrt(b[at] / (1 - 0.999**step)) + 1e-8)
     high, t = logit[best], y[w.doc[best]]
     order = np.argsort(-high)
-    hit = np.cumsum(t[order])
-    f1 = 2 * hit / (np.arange(1, len(hit) + 1) + t.sum())
+    clean, bad = labelled or ((1 - toxic).sum(), toxic.sum())
+    stands = np.where(t > 0, bad / t.sum(), clean / (1 - t).sum())[order]  # documents that one of the sample stands for
+    hit = np.cumsum(stands * t[order])
+    f1 = 2 * hit / (np.cumsum(stands) + bad)
     k = int(np.argmax(f1))
     m["threshold"] = np.float32((high[order[k]] + (high[order[k + 1]] if k + 1 < len(order) else high[order[k]] - 1)) / 2)
     return m
@@ -309,7 +342,7 @@ def scores(m: dict, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if w is None:
             continue
         x = inputs(m, w)
-        logit = np.concatenate([forward(m, x, w, slice(a, a + 2048)) for a in range(0, len(w.ids), 2048)])
+        logit = logits(m, x, w)
         begin = np.flatnonzero(np.diff(w.doc, prepend=-1))
         top = np.maximum.reduceat(logit, begin)
         out[i + w.doc[begin]] = top
@@ -319,17 +352,42 @@ def scores(m: dict, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most MAX_TOXIC and MAX_CLEAN labelled documents, drawn by hash of the id."""
+def sample(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES
+) -> tuple[list[str], np.ndarray, tuple[int, int]]:
+    """Texts and labels of labelled documents, and how many clean and toxic ones there are.
+
+    Drawn by hash of the id: at most ``max_toxic`` and ``max_clean`` of the classes, and of those, in that order, as many as
+    ``max_bytes`` hold, each class its part; a longer document is passed over. An id that is labelled both ways counts
+    as not labelled, and of the texts of an id that repeats one is taken, by hash.
+    """
     y = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).where("__id is not null and __toxic in (0, 1)")
-    few = [y.where(f"__toxic = {k}").orderBy(F.xxhash64("__id"), "__id").limit(n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
+    y = y.groupBy("__id").agg(F.min("__toxic").alias("__toxic"), F.max("__toxic").alias("__top")).where("__toxic = __top").drop("__top")
+    n = y.agg(F.sum(1 - F.col("__toxic")), F.sum("__toxic")).first()
+    few = [y.where(f"__toxic = {k}").orderBy(F.xxhash64("__id"), "__id").limit(m) for k, m in ((1, max_toxic), (0, max_clean))]
     few = F.broadcast(few[0].union(few[1]))  # of bounded size
-    rows = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text")).join(few, "__id").where("__text is not null").toArrow()
-    return rows["__text"].to_pylist(), rows["__toxic"].to_numpy()
-
-
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    model = train(*sample(docs, labels, id_col, text_col))
+    rows = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("__text")).join(few, "__id").where("__text is not null")
+    rows = rows.groupBy("__id", "__toxic").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("text"))).alias("x"))
+    rows = written(rows.select("__id", "__toxic", "x.text", F.octet_length("x.text").alias("size"), F.xxhash64("__id").alias("place")), "sample")
+    found = rows.select("__id", "__toxic", "size", "place").orderBy("place", "__id").toArrow()  # some thousand rows
+    toxic, size, ids = (found[c].to_numpy() for c in ("__toxic", "size", "__id"))
+    take = np.zeros(len(ids), bool)
+    for k, most in ((1, max_toxic), (0, max_clean)):
+        left = max_bytes * most // (max_toxic + max_clean)
+        for i in np.flatnonzero(toxic == k):
+            if size[i] <= left:
+                left -= size[i]
+                take[i] = True
+    if not take.any():
+        return [], np.zeros(0, np.int32), (0, 0)
+    chosen = rows.where(F.col("__id").isin(ids[take].tolist())).orderBy("place", "__id").select("__toxic", "text").toArrow()
+    return chosen["text"].to_pylist(), chosen["__toxic"].to_numpy(), (n[0] or 0, n[1] or 0)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> dict:
+    """A model of ``sample``, which takes the bounds."""
+    texts, toxic, labelled = sample(docs, labels, id_col, text_col, **bounds)
+    model = train(texts, toxic, labelled=labelled)
     pa.default_memory_pool().release_unused()  # the sample's
     return model
 
@@ -358,14 +416,14 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, _SCORED)
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxic_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """``scored`` rows that are toxic, by a model fitted on ``labels`` (doc_id, toxic)."""
-    return scored(docs, fitted(docs, labels)).where("toxic")
+    return scored(docs, fitted(docs, labels, **bounds)).where("toxic")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
     """``docs``, all columns, less its toxic rows; a row without words stays."""
-    model = fitted(docs, labels, id_col, text_col)
+    model = fitted(docs, labels, id_col, text_col, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

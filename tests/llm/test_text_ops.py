@@ -6,6 +6,7 @@ import base64
 import bz2
 import gzip
 import lzma
+import math
 import os
 import random
 import urllib.parse
@@ -17,7 +18,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm import fingerprints, linededup, neardup, secretscan, toxicity
+from quern.llm import fingerprints, kernel, linededup, neardup, secretscan, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, place string, kept_id string, toxic string, lines_removed string"
 
@@ -436,10 +437,10 @@ def test_gradient_is_the_slope():
     w = toxicity.read(*toxicity._arrow(texts))
     rows = np.arange(min(3, len(w.ids)))
     part = toxicity.Words(w.bucket, w.grams, w.gram_word, w.ids[rows], w.length[rows], w.doc[rows])
-    f = lambda: float(toxicity.forward(m, toxicity.inputs(m, part).astype(np.float64), part).sum())
+    f = lambda: float(toxicity.forward(m, toxicity.projected(m, toxicity.inputs(m, part).astype(np.float64)), part).sum())
     keep = {}
     x = toxicity.inputs(m, part).astype(np.float64)
-    toxicity.forward(m, x, part, keep=keep)
+    toxicity.forward(m, toxicity.projected(m, x), part, keep=keep)
     g = toxicity.gradient(m, x, part, keep, np.ones(len(rows)))
     for k in ("uf", "ub", "v", "o", "wx", "b"):
         at = tuple(s // 2 for s in m[k].shape)
@@ -450,6 +451,106 @@ def test_gradient_is_the_slope():
         down = f()
         m[k][at] = old
         assert (up - down) / 2e-4 == pytest.approx(g[k][at], rel=2e-2, abs=1e-4), k
+    for k in ("word", "char"):
+        rows, own = g[k]
+        at = (rows[len(rows) // 2], 3)
+        old = m[k][at]
+        m[k][at] = old + 1e-3
+        up = f()
+        m[k][at] = old - 1e-3
+        down = f()
+        m[k][at] = old
+        assert (up - down) / 2e-3 == pytest.approx(own[len(rows) // 2, 3], rel=2e-2, abs=1e-4), k
+
+
+def plain_score(m, text):
+    """The network word by word and number by number: the best window's logit and its first word."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    low = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    best = (-math.inf, 0)
+
+    def grams(word):
+        x = b"^" + word.encode() + b"$"
+        for size in (4, 5):
+            for i in range(len(x) - size + 1):
+                h = 0x5BD1E995 if size == 5 else 0
+                for k in range(size):
+                    h ^= int(toxicity._TAB[k][x[i + k]])
+                yield h % toxicity.BUCKETS
+
+    def vector(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        bucket = int(kernel.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0] % np.uint64(toxicity.BUCKETS))
+        own = list(grams(word))
+        chars = [sum(float(m["char"][g][d]) for g in own) / len(own) if own else 0.0 for d in range(toxicity.CHAR_DIM)]
+        odds = [float(m["gram_odds"][g]) for g in own]
+        return [*chars, sum(odds) / len(odds) if odds else 0.0, max(odds, default=0.0), *map(float, m["word"][bucket]), float(m["word_odds"][bucket])]
+
+    def states(xs, u, offset):
+        h, out, size = [0.0] * toxicity.HIDDEN, [], toxicity.HIDDEN
+        for x in xs:
+            p = [sum(x[i] * float(m["wx"][i][offset + g]) for i in range(len(x))) + float(m["b"][offset + g]) for g in range(3 * size)]
+            a = [sum(h[i] * float(u[i][g]) for i in range(size)) for g in range(3 * size)]
+            new = []
+            for i in range(size):
+                z, r = sig(p[i] + a[i]), sig(p[size + i] + a[size + i])
+                n = math.tanh(p[2 * size + i] + r * a[2 * size + i])
+                new.append((1 - z) * n + z * h[i])
+            h = new
+            out.append(h)
+        return out
+
+    count = 1 + max(0, -(-(len(low) - toxicity.WINDOW) // toxicity.STRIDE)) if low else 0
+    for k in range(count):
+        xs = [vector(x) for x in low[k * toxicity.STRIDE : k * toxicity.STRIDE + toxicity.WINDOW]]
+        both = [f + b for f, b in zip(states(xs, m["uf"], 0), states(xs[::-1], m["ub"], 3 * toxicity.HIDDEN)[::-1])]
+        e = [sum(s * float(v) for s, v in zip(x, m["v"])) for x in both]
+        w = [math.exp(v - max(e)) for v in e]
+        pooled = [sum(wi * x[d] for wi, x in zip(w, both)) / sum(w) for d in range(2 * toxicity.HIDDEN)]
+        logit = sum(p * float(o) for p, o in zip(pooled, m["o"])) + float(m["ob"])
+        if logit > best[0] + 1e-6:
+            best = (logit, k * toxicity.STRIDE)
+    return best
+
+
+def test_scores_against_plain_loops(model):
+    """Scores and windows of short, long and odd texts are those of the network written out in loops."""
+    texts = ["one", "a bb ccc dddd eeeee", "Disgusting MORON, you", " ".join(words(64, 5)), " ".join(words(65, 6)), " ".join(words(200, 7) + BAD), " ".join(BAD + words(130, 8)), "x" * 300]
+    got, at = toxicity.scores(model, pa.array([*texts, "", "?!", None]))
+    for t, logit, where in zip(texts, got, at):
+        want = plain_score(model, t)
+        assert float(logit) == pytest.approx(want[0], abs=2e-4) and where == want[1]
+    assert np.isneginf(got[len(texts) :]).all()
+
+
+def test_network_carries_more_than_the_odds():
+    """With the odds taken away the network still tells order: the same words are toxic in one order only."""
+    r = random.Random(12)
+    texts, y = [], []
+    for k in range(900):
+        w = [f"w{r.randrange(40)}" for _ in range(30)]
+        a, b = r.randrange(0, 14), r.randrange(15, 29)
+        y.append(k % 2)
+        w[a], w[b] = ("badly", "meant") if y[-1] else ("meant", "badly")
+        w[a + 1] = w[a]
+        texts.append(" ".join(w))
+    m = toxicity.train(texts[:700], np.array(y[:700]), epochs=12)
+    m["gram_odds"][:] = 0
+    m["word_odds"][:] = 0
+    got, _ = toxicity.scores(m, pa.array(texts[700:]))
+    order = np.argsort(-got)
+    top = np.array(y[700:])[order][:100].mean()
+    assert top > 0.9
+
+
+def test_sample_is_bounded_and_folds_ids(spark):
+    rows = [(1, "t one"), (1, "t other"), *[(2, f"c {k}") for k in range(500)], (3, "both ways"), (4, "x" * 5000), (5, "t five"), (6, None), (7, "c seven"), (None, "no id")]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (4, 0), (5, 1), (6, 0), (7, 0), (8, None), (None, 1), (99, 1)], "doc_id long, toxic int")
+    texts, y, n = toxicity.sample(docs(spark, rows), labels, max_bytes=2000)
+    assert sorted(zip(y.tolist(), (t[0] for t in texts))) == [(0, "c"), (0, "c"), (1, "t"), (1, "t")] and n == (4, 3)
+    assert len(toxicity.sample(docs(spark, rows), labels, max_toxic=1, max_clean=1)[0]) <= 2
+    assert toxicity.sample(docs(spark, rows), labels.where("false"))[0] == []
+
 
 
 def test_toxic_rows(spark):
