@@ -1,4 +1,4 @@
-"""Text functions as Column expressions; only ``redact`` may call on Python, for texts with URLs."""
+"""Text functions as Column expressions. Python is called, by Arrow batches, for chunks, URLs in texts, and entities beyond the usual ones."""
 
 from __future__ import annotations
 
@@ -26,12 +26,15 @@ def content_hash(body: Column | str) -> Column:
     return F.sha2(strip(body), 256)
 
 
-def unescape_common(c: Column | str) -> Column:
-    """The usual HTML entities; ``exact.html_unescape`` knows all."""
-    c = col(c)
+def unescape(c: Column | str) -> Column:
+    """HTML entities decoded. The usual ones are replaced in generated code; texts with others go to Python."""
+    from quern.functions.exact import html_unescape
+
+    c = quick = col(c)
     for entity, char in _ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+        quick = F.replace(quick, F.lit(entity), F.lit(char))
+    other = F.coalesce(c.rlike(rf"&(?!(?:{'|'.join(e[1:] for e, _ in _ENTITIES)}))(?:#|[A-Za-z])"), F.lit(False))
+    return F.when(other, html_unescape(F.when(other, c))).otherwise(quick)
 
 
 def html_to_text(html: Column | str) -> Column:
@@ -40,7 +43,7 @@ def html_to_text(html: Column | str) -> Column:
     c = F.regexp_replace(c, r"(?i)<script[\s\S]*?</script>", " ")
     c = F.regexp_replace(c, r"(?i)<style[\s\S]*?</style>", " ")
     c = F.regexp_replace(c, r"(?i)<(br|/p|/div|/li|/h[1-6])\s*/?>", "\n")
-    c = unescape_common(F.regexp_replace(c, r"<[^>]+>", " "))
+    c = unescape(F.regexp_replace(c, r"<[^>]+>", " "))
     c = F.regexp_replace(c, r"[ \t\f\r]+", " ")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
@@ -68,41 +71,13 @@ def chunks(text: Column | str, size: int = 1600, overlap: int = 200) -> Column:
 
     A chunk ends at the last blank line or blank in its second half, or at
     ``size`` characters. Positions are of the trimmed text; blank chunks are left out.
-    The fold carries only positions; how many steps it may need is known from the length.
+    A fold in generated code would copy what it has found at each step, so Arrow batches are cut in Python, in one pass.
     """
+    from quern.functions.exact import chunker
+
     if size < 64 or not 0 <= overlap < size:
         raise ValueError("chunks need a size of 64 at least and an overlap under the size")
-    t, half = col(text), size // 2
-    n = F.length(t)
-    least = max(1, half - overlap)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / F.lit(least)).cast("int") + 1))
-
-    def step(acc: Column, _: Column) -> Column:
-        start = acc["next"]
-        limit = F.least(n, start + size)
-
-        def cut(tail: Column) -> Column:
-            blank, line = F.instr(tail, " "), F.instr(tail, "\n\n")
-            return F.greatest(F.when(blank > 0, limit - blank).otherwise(-1), F.when(line > 0, limit - line - 1).otherwise(-1))
-
-        def more(end: Column) -> Column:
-            return F.struct(F.greatest(start + 1, end - overlap).cast("int").alias("next"), (end >= n).alias("done"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("a"), end.cast("int").alias("b")))).alias("out"))
-
-        tail = F.reverse(F.substring(t, start + half + 1, limit - start - half))
-        at = F.when(limit < n, _let(_let(tail, cut), lambda c: F.when(c > start, c).otherwise(limit))).otherwise(limit)
-        return F.when(acc["done"] | (start >= n), acc).otherwise(_let(at, more))
-
-    zero = F.struct(F.lit(0).alias("next"), F.lit(False).alias("done"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("out"))
-    raw = F.aggregate(steps, zero, step)["out"]
-
-    def trimmed(x: Column) -> Column:
-        def whole(part: Column) -> Column:
-            lead = F.length(part) - F.length(F.regexp_replace(part, rf"^{_WS}+", ""))
-            return _let(strip(part), lambda body: _let(x["a"] + lead, lambda start: F.struct(start.alias("start"), (start + F.length(body)).alias("stop"), body.alias("text"))))
-
-        return _let(F.substring(t, x["a"] + 1, x["b"] - x["a"]), whole)
-
-    return F.filter(F.transform(raw, trimmed), lambda x: x["text"] != "")
+    return chunker(size, overlap)(col(text))
 
 
 def snippet(text: Column | str, query: str, width: int = 360, before: int = 80) -> Column:
@@ -116,7 +91,7 @@ def snippet(text: Column | str, query: str, width: int = 360, before: int = 80)
     return F.when(t == "", "Visual evidence").otherwise(F.substring(t, start + 1, F.lit(width)))
 
 
-_NAMES = ("token", "access[_-]?token", "signature", "session", "secret", "client[_-]?secret", "password", "cookie", "api[_-]?key")
+_NAMES = ("token", "access[_-]?token", "secret", "client[_-]?secret", "api[_-]?key", "password", "cookie", "session", "signature")
 ASSIGNED = rf"(?i)\b({'|'.join(_NAMES)})\s*[:=]\s*([^\s,;]+)"
 AUTHORIZATION = r"(?i)\b(Basic|Bearer)\s+[A-Za-z0-9._~+/=-]+"
 
@@ -135,17 +110,27 @@ def redact(c: Column | str) -> Column:
     return redact_secrets(F.when(has, sanitize_urls_in_text(F.when(has, c))).otherwise(c))
 
 
-_KEYS = (r"sk-[\w-]{20,}", r"gh[opsru]_[A-Za-z0-9]{20,}", "AKIA[A-Z0-9]{16}", r"eyJ[\w-]{8,}(?:\.[\w-]{8,}){2}")
+_KEYS = ("AKIA[0-9A-Z]{16}", "gh[pousr]_[A-Za-z0-9]{20,}", "sk-[A-Za-z0-9_-]{20,}", r"eyJ[\w-]{8,}(?:\.[\w-]{8,}){2}")
 _CREDENTIAL = rf"\b(?:Basic|Bearer)\s+[A-Za-z0-9._~+/=-]+|\b(?:{'|'.join(_KEYS)})\b"
 _HEADER = r"(?i)\b(?:(?:Set-)?Cookie|(?:Proxy-)?Authorization)\s*:"
 _SESSION_PATH = r"(?i)(?:^|[\\/])(?:cookies?|local storage|session storage|browser profile|login data)(?:$|[\\/.])"
 
 
+#: (kind, expression) of what makes a text secret.
+SECRET_KINDS = (("credential_value", _CREDENTIAL), ("credential_header", _HEADER), ("secret_assignment", ASSIGNED), ("session_path", _SESSION_PATH))
+
+
 def secret_kinds(c: Column | str) -> Column:
     """Kinds of secret material that a text shows, as an array in fixed order."""
     c = col(c)
-    checks = (("credential_value", c.rlike(_CREDENTIAL)), ("credential_header", c.rlike(_HEADER)), ("secret_assignment", c.rlike(ASSIGNED)), ("session_path", c.rlike(_SESSION_PATH)))
-    return F.filter(F.array(*(F.when(hit, F.lit(kind)) for kind, hit in checks)), lambda x: x.isNotNull())
+    return F.filter(F.array(*(F.when(c.rlike(rule), F.lit(kind)) for kind, rule in SECRET_KINDS)), lambda x: x.isNotNull())
+
+
+def json_secrets(c: Column | str) -> Column:
+    """array<struct<place, kind>>: secret fields and values in JSON, however deep they lie."""
+    from quern.functions.exact import secrets_in_json
+
+    return secrets_in_json(SECRET_KINDS)(col(c))
 
 
 def vtt_lines(c: Column | str) -> Column:
@@ -167,8 +152,8 @@ def vtt_to_text(c: Column | str) -> Column:
 
 
 def page_title(html: Column | str) -> Column:
-    """The text of the first title element, white space collapsed, usual entities decoded."""
-    t = unescape_common(F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    """The text of the first title element, white space collapsed, entities decoded."""
+    t = unescape(F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
     return strip(F.regexp_replace(t, rf"{_WS}+", " "))
 
 

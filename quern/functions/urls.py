@@ -6,16 +6,16 @@ rows that don't need them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import col
 
-TRACKING = tuple("utm_" + x for x in ("term", "source", "medium", "content", "campaign")) + ("ref", "ref_src", "mc_eid", "mc_cid", "gclid", "fbclid")
-#: Words that make a query key secret where they stand alone in it, and beginnings of providers' own keys.
-_SECRET_WORDS = ("jwt", "sig", "signed", "cookie", "session", "signature", "credential", "secret", "password", "token", "auth", "authorization", *(f"{a}[_-]?{b}" for a, b in (("api", "key"), ("access", "token"), ("client", "secret"))))
-_SENSITIVE = rf"(?:^|[_-])(?:{'|'.join(_SECRET_WORDS)})(?:$|[_-])"
-_PROVIDER = "^(?:(?:googleaccessid|awsaccesskeyid|policy)$|x-(?:goog|amz)-)"
+TRACKING = ("gclid", "fbclid", "mc_cid", "mc_eid", "ref", "ref_src", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content")
+#: Query keys that carry a secret, once other characters than letters and digits are low lines; and providers' own.
+SENSITIVE_KEY = "(?:^|[_-])(?:token|access[_-]?token|secret|client[_-]?secret|api[_-]?key|password|credential|cookie|session|jwt|auth|authorization|sig|signed|signature)(?:$|[_-])"
+PROVIDER_KEY = "^(?:(?:googleaccessid|awsaccesskeyid|policy)$|x-(?:goog|amz)-)"
+BLOCKED_HOST = r"^(?:localhost|metadata|metadata\.google\.internal)$|\.(?:localhost|local)$|\.metadata\.google\.internal$"
 
 
 def part(url: Column | str, name: str) -> Column:
@@ -38,7 +38,7 @@ def port(url: Column | str) -> Column:
 def sensitive_key(key: Column | str) -> Column:
     """Whether a query key by its name carries a secret."""
     k = F.regexp_replace(F.regexp_replace(F.lower(F.trim(col(key))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return k.rlike(_SENSITIVE) | k.rlike(_PROVIDER)
+    return k.rlike(SENSITIVE_KEY) | k.rlike(PROVIDER_KEY)
 
 
 def _pairs(url: Column | str) -> Column:
@@ -50,14 +50,22 @@ def _key(pair: Column) -> Column:
     return F.split_part(pair, F.lit("="), F.lit(1))
 
 
-def sensitive_query_keys(url: Column | str) -> Column:
-    """Distinct secret-bearing keys with a value, in order."""
+def _quick_keys(url: Column | str) -> Column:
     hits = F.filter(_pairs(url), lambda x: x.rlike("=.") & sensitive_key(_key(x)))
     return F.array_sort(F.array_distinct(F.transform(hits, _key)))
 
 
+def sensitive_query_keys(url: Column | str) -> Column:
+    """Distinct keys with a value that are secret by name, or hold a URL with a secret in it, in order."""
+    from quern.functions.exact import secret_params_exact
+
+    return F.when(plain(url), _quick_keys(url)).otherwise(secret_params_exact(F.when(~plain(url), col(url))))
+
+
 def has_userinfo(url: Column | str) -> Column:
-    return F.coalesce(part(url, "USERINFO"), F.lit("")) != ""
+    from quern.functions.exact import user_exact
+
+    return F.when(plain(url), F.coalesce(part(url, "USERINFO"), F.lit("")) != "").otherwise(user_exact(F.when(~plain(url), col(url))))
 
 
 def _with_value(pair: Column) -> Column:
@@ -90,18 +98,22 @@ def sanitize(url: Column | str) -> Column:
     return F.when(plain(url), quick).otherwise(sanitize_url(F.when(~plain(url), col(url))))
 
 
-def canonicalize(url: Column | str, tracking: tuple[str, ...] = TRACKING) -> Column:
-    """The stable identity of a safe URL: sorted query without tracking and secrets, no default port, no fragment; null for an unsafe one."""
-    from quern.functions.exact import canonical_url
-
+def _quick_identity(url: Column | str, tracking: tuple[str, ...]) -> Column:
     drop = [t.lower() for t in tracking]
     kept = F.filter(F.transform(_pairs(url), _with_value), lambda x: ~F.lower(_key(x)).isin(drop) & ~sensitive_key(_key(x)))
     by = F.array_sort(F.transform(kept, lambda x: F.struct(_key(x).alias("k"), F.substring_index(x, "=", -1).alias("v"), x.alias("x"))))
     query = F.array_join(F.transform(by, lambda s: s["x"]), "&")
     s, p = scheme(url), port(url)
     p = F.when(((s == "http") & (p == 80)) | ((s == "https") & (p == 443)), F.lit(None)).otherwise(p)
-    quick = F.when(safety_reason(url).isNull(), _join(s, host(url), p, part(url, "PATH"), query))
-    return F.when(plain(url), quick).otherwise(canonical_url(F.when(~plain(url), col(url)), F.array(*(F.lit(t) for t in drop))))
+    return F.when(_quick_reason(url).isNull(), _join(s, host(url), p, part(url, "PATH"), query))
+
+
+def canonicalize(url: Column | str, tracking: tuple[str, ...] = TRACKING) -> Column:
+    """The stable identity of a safe URL: sorted query without tracking and secrets, no default port, no fragment; null for an unsafe one."""
+    from quern.functions.exact import canonical_url
+
+    easy = _easy(url)
+    return F.when(easy, _quick_identity(url, tracking)).otherwise(canonical_url(tuple(tracking))(F.when(~easy, col(url))))
 
 
 def origin(url: Column | str) -> Column:
@@ -111,27 +123,47 @@ def origin(url: Column | str) -> Column:
     return F.concat(s, F.lit("://"), h, F.when(own, "").otherwise(F.concat(F.lit(":"), p.cast("string"))))
 
 
-def _blocked(h: Column) -> Column:
-    return h.isin("localhost", "metadata", "metadata.google.internal") | h.rlike(r"\.(localhost|local)$|\.metadata\.google\.internal$")
+def _easy(url: Column | str) -> Column:
+    """``plain``, and the host is a name rather than an address."""
+    return plain(url) & ~F.coalesce(host(url).contains(":") | host(url).rlike(r"^[0-9.]+$"), F.lit(True))
 
 
-def safety_reason(url: Column | str) -> Column:
-    """Why a URL may not be fetched; null where it may. Addresses are judged by ``exact.address_is_global``."""
-    from quern.functions.exact import address_is_global
-
+def _quick_reason(url: Column | str) -> Column:
     h, p, s = host(url), port(url), scheme(url)
-    literal = h.contains(":") | h.rlike(r"^[0-9.]+$")
     return (
         F.when(s.isNull() | ~s.isin("http", "https"), "scheme")
         .when(F.coalesce(h, F.lit("")) == "", "host")
         .when((p <= 0) | (p > 65535), "port")
-        .when(_blocked(h), "blocked-host")
-        .when(F.when(literal, ~F.coalesce(address_is_global(F.when(literal, h)), F.lit(True))).otherwise(False), "address")
-        .when(has_userinfo(url), "userinfo")
-        .when(F.size(sensitive_query_keys(url)) > 0, "sensitive-query")
+        .when(h.rlike(BLOCKED_HOST), "blocked-host")
+        .when(F.coalesce(part(url, "USERINFO"), F.lit("")) != "", "userinfo")
+        .when(F.size(_quick_keys(url)) > 0, "sensitive-query")
     )
 
 
+def safety_reason(url: Column | str) -> Column:
+    """Why a URL may not be fetched; null where it may. Escapes, nested URLs and addresses are judged by ``exact``."""
+    from quern.functions.exact import safety_reason_exact
+
+    easy = _easy(url)
+    return F.when(col(url).isNull(), "scheme").when(easy, _quick_reason(url)).otherwise(safety_reason_exact(F.when(~easy, col(url))))
+
+
+def resolved(df: DataFrame, base: str, link: str, name: str, tracking: tuple[str, ...] = TRACKING) -> DataFrame:
+    """``df`` with the canonical form of a link on a page as column ``name``; null where it is unsafe.
+
+    Whole links and paths from the root are joined in generated code, others (relative ones, with dots, escapes) in Python. What is
+    used often is a column of its own, or the plan would hold it as often.
+    """
+    from quern.functions.exact import resolve_canonical
+
+    rooted = F.col(link).rlike(r"^/(?:[^/]|$)") & ~F.col(link).rlike(r"/\.{1,2}(?:[/?#]|$)") & plain(base)
+    d = df.withColumn("_whole", F.when(rooted, F.concat(origin(base), F.col(link))).when(F.col(link).rlike("(?i)^https?://[^/]"), F.col(link)))
+    d = d.withColumn("_easy", _easy("_whole")).withColumn("_quick", F.when(F.col("_easy"), _quick_identity("_whole", tracking)))
+    hard = ~F.col("_easy")
+    d = d.withColumn("_slow", resolve_canonical(tuple(tracking))(F.when(hard, F.col(base)), F.when(hard, F.col(link))))
+    return d.withColumn(name, F.when(hard, F.col("_slow")).otherwise(F.col("_quick"))).drop("_whole", "_easy", "_quick", "_slow")
+
+
 def glob_regex(pattern: str) -> str:
     """The regular expression of a shell pattern, for whole lower-case strings."""
     import fnmatch

@@ -48,18 +48,34 @@ def page_title(spark, t):
     return t("pages").select("page_id", text.page_title("html").alias("title"))
 
 
-@query("SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]+)\"', 1)) AS link, generate_subscripts(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]+)\"', 1), 1) - 1 AS pos FROM pages) WHERE pos < 4")
+_HREFS = "regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]+)\"', 1)"
+
+
+@query(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM (SELECT page_id, unnest({_HREFS}) AS link, generate_subscripts({_HREFS}, 1) - 1 AS pos FROM pages)")
 def page_links(spark, t):
-    """Anchors of every page in order, four of a page at most: more aren't looked at before repeats are dropped."""
-    return t("pages").select("page_id", F.posexplode(F.slice(text.page_links("html"), 1, 4)).alias("pos", "link"))
+    """Anchors of every page in order."""
+    return t("pages").select("page_id", F.posexplode(text.page_links("html")).alias("pos", "link"))
+
+
+_ORIGIN = "regexp_extract(url, '^[a-z]+://[^/?#]+')"
 
 
-@query()
+@query(f"SELECT page_id, {_TITLE} AS title, url AS canonical, list_transform({_HREFS}, lambda x: CASE WHEN x LIKE '/%' THEN {_ORIGIN} || x ELSE x END) AS links FROM pages")
 def page_parse(spark, t):
     """Title, canonical link and resolved anchors by a full parser."""
     return t("pages").select("page_id", exact.parse_html("url", "html").alias("x")).select("page_id", "x.*")
 
 
+_NAMED = {"&hellip;": "…", "&eacute;": "é", "&#8212;": "—", "&#x1F600;": "😀", "&amp;lt;": "&lt;", "&Rarr;": "↠", "&notit;": "¬it;", "&nosuch;": "&nosuch;", "&amp;hellip;&nbsp;x": "&hellip;\u00a0x", "&": "&"}
+
+
+@query("SELECT page_id, '<' || [" + ", ".join(f"'{v}'" for v in _NAMED.values()) + f"][page_id % {len(_NAMED)} + 1] || '>' AS decoded FROM pages")
+def html_entities(spark, t):
+    """Entities of every kind: usual, named, numbered, without an end, unknown, and escaped ones."""
+    names = F.array(*(F.lit(k) for k in _NAMED))
+    return t("pages").select("page_id", text.unescape(F.concat(F.lit("&lt;"), F.get(names, (F.col("page_id") % len(_NAMED)).cast("int")), F.lit("&gt;"))).alias("decoded"))
+
+
 @query(f"SELECT 'page' AS kind, page_id AS id, {_slug(_TITLE)} AS slug FROM pages UNION ALL SELECT 'part', p_partkey, {_slug('p_name')} FROM part")
 def slugify(spark, t):
     a = t("pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), text.slugify(text.page_title("html")).alias("slug"))
@@ -90,7 +106,8 @@ def secret_scan(spark, t):
     return t("documents").select("doc_id", text.secret_kinds("text").alias("kinds")).where(F.size("kinds") > 0)
 
 
-_URL = r"SELECT page_id, url, regexp_extract(url, '^([a-z]+)://([^/?#]+)([^?#]*)\??([^#]*)', ['s', 'h', 'p', 'q']) AS u FROM pages"
+_URL_PARTS = r"^([a-z]+)://([^/?#]+)([^?#]*)\??([^#]*)"
+_URL = f"SELECT page_id, url, regexp_extract(url, '{_URL_PARTS}', ['s', 'h', 'p', 'q']) AS u FROM pages"
 _DROP = "'fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'ref_src', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'"
 
 
@@ -118,23 +135,44 @@ def url_origin(spark, t):
     return t("pages").select("page_id", urls.origin("url").alias("origin"))
 
 
-#: Spoilt forms of a page's URL, by page.
-_SPOILT = ["url", "'file:///etc/x'", "'http://localhost/x'", "replace(url, '://', '://user:pw@')", "regexp_replace(url, '[?#].*$', '') || '?api_key=1&page=2'", "regexp_replace(url, '^(https?://[^/]+)', '\\1:0')", "regexp_replace(url, '[?#].*$', '') || '?token=&sig=a'"]
-_SPOILT_SQL = "SELECT page_id, CASE page_id % 7 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_SPOILT)) + " END AS url FROM pages"
+_BARE = "regexp_replace(url, '[?#].*$', '')"
+#: Spoilt forms of a page's URL, by page, each with why it may not be fetched and the keys that are secret.
+_SPOILT = [
+    ("url", None, []),
+    ("'file:///etc/x'", "scheme", []),
+    ("'http://localhost/x'", "blocked-host", []),
+    ("replace(url, '://', '://user:pw@')", "userinfo", []),
+    (f"{_BARE} || '?api_key=1&page=2'", "sensitive-query", ["api_key"]),
+    ("regexp_replace(url, '^(https?://[^/]+)', '\\1:0')", "port", []),
+    (f"{_BARE} || '?token=&sig=a'", "sensitive-query", ["sig"]),
+    (f"{_BARE} || '?next=https%3A%2F%2Fme%3Apw%40inner.example%2F'", "sensitive-query", ["next"]),
+    (f"{_BARE} || '?to=https://inner.example/?jwt=1'", "sensitive-query", ["to"]),
+    (f"{_BARE} || '?api%5Fkey=x&b.token=2'", "sensitive-query", ["api_key", "b.token"]),
+    (f"{_BARE} || '?u=http%3A%2F%2Fa.example%2F%3Fu%3Dhttp%253A%252F%252Fb.example%252F%253Fsecret%253Dx'", "sensitive-query", ["u"]),
+    (f"{_BARE} || '?next=https%3A%2F%2Finner.example%2F%3Fpage%3D2'", None, []),
+    ("'http://10.1.2.3/x'", "address", []),
+    ("'http://[fe80::7]/x'", "address", []),
+    ("'http://93.184.215.14/x'", None, []),
+    ("'https://h.example:99999/x'", "port", []),
+    ("'http://Metadata.google.internal./x'", "blocked-host", []),
+    ("'not a url'", "scheme", []),
+]
+_WHICH = f"page_id % {len(_SPOILT)}"
+_SPOILT_SQL = f"SELECT page_id, CASE {_WHICH} " + " ".join(f"WHEN {k} THEN {x}" for k, (x, _, _) in enumerate(_SPOILT)) + " END AS url FROM pages"
 
 
 def _spoilt(t):
-    cases = "case page_id % 7 " + " ".join(f"when {k} then {x}" for k, x in enumerate(_SPOILT)).replace("'\\1:0'", "'$1:0'") + " end as url"
+    cases = f"case {_WHICH} " + " ".join(f"when {k} then {x}" for k, (x, _, _) in enumerate(_SPOILT)).replace("'\\1:0'", "'$1:0'") + " end as url"
     return t("pages").selectExpr("page_id", cases)
 
 
-@query(f"SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'scheme' WHEN 2 THEN 'blocked-host' WHEN 3 THEN 'userinfo' WHEN 4 THEN 'sensitive-query' WHEN 5 THEN 'port' WHEN 6 THEN 'sensitive-query' END AS reason FROM pages")
+@query(f"SELECT page_id, CASE {_WHICH} " + " ".join(f"WHEN {k} THEN '{why}'" for k, (_, why, _) in enumerate(_SPOILT) if why) + " END AS reason FROM pages")
 def url_safety_reason(spark, t):
     """Why a spoilt URL may not be fetched."""
     return _spoilt(t).select("page_id", urls.safety_reason("url").alias("reason"))
 
 
-@query(f"SELECT page_id, CASE page_id % 7 WHEN 4 THEN ['api_key'] WHEN 6 THEN ['sig'] ELSE [] END AS keys FROM ({_SPOILT_SQL})")
+@query(f"SELECT page_id, CASE {_WHICH} " + " ".join(f"WHEN {k} THEN {keys}" for k, (_, _, keys) in enumerate(_SPOILT) if keys) + " ELSE [] END AS keys FROM pages")
 def sensitive_query_keys(spark, t):
     return _spoilt(t).select("page_id", urls.sensitive_query_keys("url").alias("keys"))
 
@@ -145,7 +183,7 @@ def url_glob_policy(spark, t):
     return t("pages").select("page_id", urls.policy_allows("url", ("*/EN/*", "https://*"), ("*utm_*",)).alias("allowed"))
 
 
-_GATE = "CASE WHEN page_id % 7 IN (3, 4, 6) THEN 'credential-bearing-url' WHEN page_id % 5 = 0 THEN 'browser-session' WHEN page_id % 5 = 1 THEN 'subscriber-content' ELSE 'public-web' END"
+_GATE = f"CASE WHEN {_WHICH} IN ({', '.join(str(k) for k, (_, why, keys) in enumerate(_SPOILT) if keys or why == 'userinfo')}) THEN 'credential-bearing-url' WHEN page_id % 5 = 0 THEN 'browser-session' WHEN page_id % 5 = 1 THEN 'subscriber-content' ELSE 'public-web' END"
 
 
 @query(f"SELECT page_id, {_GATE} AS source_class, CASE WHEN {_GATE} = 'public-web' THEN 'allow_public' ELSE 'export_required' END AS action FROM pages")
@@ -185,14 +223,14 @@ def timestamps(spark, t):
     return e.select("event_id", text.epoch_date("s").alias("day"), text.timestamp_name("iso").alias("name"), text.timestamp_valid("iso").alias("valid"))
 
 
-_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {stripped(f'''regexp_replace(regexp_replace({stripped('x')}, '<[^>]+>', '', 'g'), '[[][^]]*[]]', '', 'g')''')}), lambda x: x <> '' AND NOT contains(x, '-->'))"
+_RAW = f"list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: {stripped('x')}), lambda x: x <> '' AND NOT contains(x, '-->') AND NOT regexp_matches(x, '^(WEBVTT|NOTE|Kind:|Language:)') AND NOT regexp_matches(x, '^[0-9]+$'))"
+_LINES = f"list_filter(list_transform({_RAW}, lambda x: {stripped("regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '[[][^]]*[]]', '', 'g')")}), lambda x: x <> '')"
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), ' ') AS spoken FROM (SELECT doc_id, {_LINES} AS l FROM documents WHERE NOT regexp_matches(text, '(?m)^\\s*([0-9]+|WEBVTT.*|NOTE.*|Kind:.*|Language:.*|.*-->.*)\\s*$'))")
+@query(f"SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), ' ') AS spoken FROM (SELECT doc_id, {_LINES} AS l FROM documents)")
 def adjacent_dedup_lines(spark, t):
-    """Lines as captions: tags and sounds go, repeats in a row stay once. Texts with cue-like lines are left to the fixtures."""
-    d = t("documents").where(~F.col("text").rlike(r"(?m)^\s*([0-9]+|WEBVTT.*|NOTE.*|Kind:.*|Language:.*|.*-->.*)\s*$"))
-    return d.select("doc_id", text.vtt_to_text("text").alias("spoken"))
+    """Texts as captions: cues, notes, tags and sounds go, repeats in a row stay once."""
+    return t("documents").select("doc_id", text.vtt_to_text("text").alias("spoken"))
 
 
 @query("SELECT doc_id, sha256('{\"adapter\":\"files\",\"limit\":' || CAST(doc_id % 50 AS VARCHAR) || ',\"target\":\"' || source || '\"}') AS fingerprint, 'item-' || left(sha256(source || '/' || doc_id || '.txt'), 16) AS item_id FROM documents")
