@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import ids
+from quern.operators.shared import ranged
 
 
 def stored(assets: DataFrame) -> DataFrame:
@@ -14,9 +15,17 @@ def stored(assets: DataFrame) -> DataFrame:
 
 
 def running_total(items: DataFrame, order: str, size: str, cap: int, key: str) -> DataFrame:
-    """Items with the running total of their key and whether it went over the cap; importers stop at the first that does."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return items.withColumn("running", F.sum(size).over(w)).withColumn("over", F.col("running") > cap)
+    """Items with the running total of their key and whether it went over the cap; importers stop at the first that does.
+
+    Sums are over ranges of the order first, so that a key with most of the items is no single task's.
+    """
+    r = ranged(items, key, order)
+    parts = r.groupBy(key, "_part").agg(F.sum(size).alias("_sum"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = parts.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    w = Window.partitionBy("_part", key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = r.withColumn("_own", F.sum(size).over(w)).join(parts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
+    return j.withColumn("running", F.col("_base") + F.col("_own")).withColumn("over", F.col("running") > cap).select(*items.columns, "running", "over")
 
 
 def merged(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

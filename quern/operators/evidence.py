@@ -7,8 +7,10 @@ terms and ranks with joins and partial aggregation.
 
 from __future__ import annotations
 
+import json
 import operator
 import re
+import uuid
 from dataclasses import dataclass
 from functools import partial
 
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import ids, text
-from quern.operators.shared import written
+from quern.operators.shared import ranged, written
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -59,12 +61,13 @@ def bm25(u: DataFrame, query: str) -> DataFrame:
 
     Frequencies and the average length are of all units given; filter the result, not the
     units. A repeated word of the query counts again. Units are read once: each word of the query is counted by a filter
-    over the unit's words, and statistics are one row, so only scores are shuffled.
+    over the unit's words, the counts are written, and statistics are one row, so that nothing is shuffled.
     """
     terms = query_terms(query)
     distinct = sorted(set(terms))
     w = u.select("evidence_id", text.words(F.concat_ws(" ", F.coalesce("title", F.lit("")), "text")).alias("w"))
     counted = w.select("evidence_id", F.size("w").alias("length"), *(F.size(F.filter("w", partial(operator.eq, F.lit(t)))).alias(f"tf{k}") for k, t in enumerate(distinct)))
+    counted = written(counted, "counted")
     stats = counted.agg(F.count("*").alias("n"), F.round(F.sum("length") / F.count("*"), 10).alias("average"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(distinct))))
     rows = counted.where(" or ".join(f"tf{k} > 0" for k in range(len(distinct))) or "false").crossJoin(F.broadcast(stats))  # one row
     average = F.when(F.col("average") == 0, 1.0).otherwise(F.col("average"))
@@ -114,13 +117,17 @@ def hash_bits(hex_hash: Column) -> Column:
 
 
 def ranked(scores: DataFrame, score: str, key: str = "evidence_id", most: int | None = None) -> DataFrame:
-    """Rank by descending score, equals by key. With ``most`` only so many rows go into the window.
+    """Rank by descending score, equals by key: of the ``most`` best rows, or of all.
 
-    Without it every row gets a rank, which sorts all of them in one place; candidates
-    of a query are few beside the corpus, but ask for ``most`` where they aren't.
+    All rows are ranked in ranges of the order, and a range begins after the rows of those before it.
     """
-    s = scores if most is None else scores.orderBy(F.desc(score), key).limit(most)
-    return s.withColumn("position", F.row_number().over(Window.orderBy(F.desc(score), key)))
+    if most is not None:
+        return scores.orderBy(F.desc(score), key).limit(most).withColumn("position", F.row_number().over(Window.orderBy(F.desc(score), key)))
+    r = ranged(scores, F.desc(score), F.col(key))
+    parts = r.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    parts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(score), key))
+    return r.withColumn("_own", own).join(parts, "_part").select(*scores.columns, (F.col("_base") + F.col("_own")).alias("position"))
 
 
 def fuse(text_rank: DataFrame, visual_rank: DataFrame) -> DataFrame:
@@ -164,23 +171,31 @@ def citations(u: DataFrame, assets: DataFrame, query: str | None = None, visual_
     )
 
 
-def manifest(u: DataFrame, assets: DataFrame, exact: bool = True, parts: int = 4096) -> DataFrame:
-    """One row of counts, capabilities, the content hash and the index id.
+#: Hexadecimal digits by which digests are gathered, from the leaves of the content tree to its root.
+TREE = (5, 2, 0)
 
-    Exact: one digest over all rows in order of id, which one task must see. Else
-    rows are hashed by ranges of their ids' digests and the digests of the ranges are hashed, which
-    gives another id but no large row.
+
+def content_tree(rows: DataFrame) -> DataFrame:
+    """One row, ``content_hash``: the root of a tree of digests over rows (key, row).
+
+    A row's digest is of its key's digest and its text. Digests that begin alike are joined in order, line by line, and hashed, by
+    fewer digits at each level; so no task sees more than a small part of the rows.
     """
+    level = rows.select(F.sha2("key", 256).alias("at"), F.sha2(F.concat_ws("\n", F.sha2("key", 256), "row"), 256).alias("digest"))
+    for digits in TREE:
+        level = level.groupBy(F.substring("at", 1, digits).alias("at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), "\n"), 256).alias("digest"))
+    return level.select(F.col("digest").alias("content_hash"))
+
+
+def manifest(u: DataFrame, assets: DataFrame) -> DataFrame:
+    """One row of counts, capabilities, the content hash and the index id."""
     rows = u.select(F.col("evidence_id").alias("key"), F.to_json(F.struct("asset_id", "char_start", "char_stop", "content_hash", "evidence_id", "title")).alias("row"))
     rows = rows.union(assets.select(F.col("asset_id").alias("key"), F.to_json(F.struct("asset_id", "sha256")).alias("row")))
-    joined = lambda c: F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(c)), lambda x: x["row"]))
-    if exact:
-        digest = rows.agg(F.sha2(joined(F.struct("key", "row")), 256).alias("content_hash"))
-    else:
-        part = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("key")).agg(F.sha2(joined(F.struct("key", "row")), 256).alias("row"))
-        digest = part.agg(F.sha2(joined(F.struct("key", "row")), 256).alias("content_hash"))
     counts = u.agg(F.count("*").alias("evidence"), F.count_if(text.strip("text") != "").alias("text_units"), F.coalesce(F.bool_or(text.strip("text") != ""), F.lit(False)).alias("text_query"))
-    return counts.crossJoin(assets.agg(F.count("*").alias("assets"))).crossJoin(digest).select("assets", "evidence", "text_units", "text_query", "content_hash", ids.short_id("evidence", F.col("content_hash")).alias("index_id"))
+    digest = content_tree(rows)
+    empty = F.sha2(F.lit(""), 256)
+    whole = counts.crossJoin(assets.agg(F.count("*").alias("assets"))).join(digest, F.lit(True), "left").withColumn("content_hash", F.coalesce("content_hash", empty))  # single rows
+    return whole.select("assets", "evidence", "text_units", "text_query", "content_hash", ids.short_id("evidence", F.col("content_hash")).alias("index_id"))
 
 
 def violations(u: DataFrame, assets: DataFrame, bodies: DataFrame, size: int = 1600, overlap: int = 200) -> DataFrame:
@@ -208,23 +223,71 @@ def violations(u: DataFrame, assets: DataFrame, bodies: DataFrame, size: int = 1
     return first
 
 
+_TABLES = ("postings", "lengths", "terms", "stats")
+
+
+def index_faults(u: DataFrame, assets: DataFrame, index: TextIndex, stored: DataFrame) -> DataFrame:
+    """(rule): what a stored index breaks, held against its own records: content-hash, index-id, counts, and each table of the text index that isn't the records'.
+
+    Tables are compared by counts and digests of their rows, so that only single rows meet.
+    """
+    anew = manifest(u, assets).select(*(F.col(c).alias(f"new_{c}") for c in ("assets", "evidence", "text_units", "content_hash", "index_id")))
+    both = stored.crossJoin(anew)  # single rows
+    checks = [("content-hash", F.col("content_hash") != F.col("new_content_hash")), ("index-id", F.col("index_id") != F.col("new_index_id")), ("counts", F.struct("assets", "evidence", "text_units") != F.struct("new_assets", "new_evidence", "new_text_units"))]
+    out = both.select(F.explode(F.filter(F.array(*(F.when(bad, F.lit(n)) for n, bad in checks)), lambda x: x.isNotNull())).alias("rule"))
+    rebuilt = text_index(u)
+    mark = lambda df, n: df.agg(F.count("*").alias(f"n{n}"), F.coalesce(F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")), F.lit(0)).alias(f"s{n}"))
+    for name in _TABLES:
+        pair = mark(getattr(index, name), 0).crossJoin(mark(getattr(rebuilt, name), 1))  # single rows
+        out = out.union(pair.where("n0 <> n1 or s0 <> s1").select(F.lit(name)))
+    return out
+
+
+def _fs(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def publish(u: DataFrame, assets: DataFrame, folder: str) -> str:
-    """Writes an index under its own id and returns the id; an equal index that is there already stays as it is."""
+    """Writes an index under its own id and returns the id.
+
+    It is written aside and renamed, so that a generation is whole or not there. One that is there already stays as it is,
+    if its records still have the content that its id names; else that is an error. The pointer to the current one is replaced by a rename.
+    """
     spark = u.sparkSession
-    row = manifest(u, assets)
+    row = written(manifest(u, assets), "manifest")
     index_id = row.first()["index_id"]
     root = f"{folder}/generations/{index_id}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    fs, at = _fs(spark, root)
+    if not fs.exists(at):
         index = text_index(u)
+        aside = f"{folder}/staging/{uuid.uuid4().hex}"
         for name, df in (("assets", assets), ("evidence", u), ("postings", index.postings.repartitionByRange("term").sortWithinPartitions("term")), ("lengths", index.lengths), ("terms", index.terms), ("stats", index.stats), ("manifest", row)):
-            df.write.mode("overwrite").parquet(f"{root}/{name}")  # the manifest, last, makes the generation count
-    row.select("index_id").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+            df.write.parquet(f"{aside}/{name}")
+        fs.mkdirs(at.getParent())
+        _, source = _fs(spark, aside)
+        if fs.exists(at) or not fs.rename(source, at):  # another writer was first
+            fs.delete(source, True)
+    there = manifest(*(spark.read.parquet(f"{root}/{n}") for n in ("evidence", "assets"))).first()
+    if there["index_id"] != index_id:
+        raise ValueError(f"{root} holds another content than its id names")
+    fs, new = _fs(spark, f"{folder}/.current-{uuid.uuid4().hex}.json")
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps({"index_id": index_id}).encode()))
+    out.close()
+    _, current = _fs(spark, f"{folder}/current.json")
+    jvm = spark._jvm
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri() if current.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, current, over)
     return index_id
 
 
-def load(spark, folder: str) -> tuple[DataFrame, DataFrame, TextIndex]:
-    """Units, assets and text index of the current generation."""
-    root = f"{folder}/generations/{spark.read.json(f'{folder}/current').first()['index_id']}"
+def load(spark, folder: str, check: bool = False) -> tuple[DataFrame, DataFrame, TextIndex]:
+    """Units, assets and text index of the current generation; ``check`` holds it against its records first."""
+    root = f"{folder}/generations/{spark.read.json(f'{folder}/current.json').first()['index_id']}"
     read = lambda n: spark.read.parquet(f"{root}/{n}")
-    return read("evidence"), read("assets"), TextIndex(read("postings"), read("lengths"), read("terms"), read("stats"))
+    found = read("evidence"), read("assets"), TextIndex(*(read(n) for n in _TABLES))
+    if check and (faults := [r["rule"] for r in index_faults(*found, read("manifest")).collect()]):  # a few rules at most
+        raise ValueError(f"the index doesn't match its records: {', '.join(faults)}")
+    return found

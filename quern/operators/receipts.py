@@ -83,3 +83,45 @@ def import_faults(items: DataFrame, imported: DataFrame, blobs: DataFrame, decla
     total = imported.groupBy("package_id").agg(F.sum("byte_size").alias("sum"))
     wrong = declared_bytes.join(total, "package_id", "left").where(~F.col("total").eqNullSafe(F.coalesce("sum", F.lit(0)).cast("long")))
     return j.select(*keys, _named(rules).alias("fault")).union(wrong.select("package_id", F.lit(None).cast("string"), F.lit("total-bytes")))
+
+
+BROWSER_OUTCOMES = ("written", "duplicate", "empty")
+
+
+def browser_faults(receipts: DataFrame, files: DataFrame | None = None, known_assets: DataFrame | None = None) -> DataFrame:
+    """(run_id, rule) of all rules that receipts of rendered pages break.
+
+    ``receipts`` (run_id, file_name, created_at, outcome, requested_url, final_url, title, status_code, content_type, request_count, network_bytes, source_profile,
+    source_primitive, record_path, record_hash, asset_ids). ``files`` (path, record_hash) are hashes of the stored records, ``known_assets`` (asset_id) the manifest's.
+    """
+    absent = F.col("record_path").isNull()
+    url = lambda c: urls.safety_reason(c).isNotNull() | ~F.col(c).eqNullSafe(urls.sanitize(c))
+    rules = [
+        ("run-id", ~F.coalesce(F.col("run_id").rlike("^[a-f0-9]{16}$"), F.lit(False))), ("file-name", ~F.coalesce(F.endswith("file_name", F.concat(F.lit("-"), "run_id", F.lit(".json"))), F.lit(False))), ("created-at", ~text.timestamp_valid("created_at")),
+        ("requested-url", url("requested_url")), ("final-url", url("final_url")), ("title", F.col("title").isNull()), ("content-type", F.col("content_type").isNull()), ("source-primitive", F.coalesce("source_primitive", F.lit("")) == ""),
+        ("source-profile", ~F.col("source_profile").eqNullSafe(F.lit("browser"))), ("status-code", ~F.coalesce(F.col("status_code").between(100, 599), F.lit(False))), ("request-count", F.coalesce("request_count", F.lit(0)) < 1), ("network-bytes", F.coalesce("network_bytes", F.lit(-1)) < 0),
+        ("outcome", ~F.coalesce(F.col("outcome").isin(*BROWSER_OUTCOMES), F.lit(False))), ("record-of-outcome", absent != F.col("outcome").eqNullSafe(F.lit("empty"))), ("record-hash", F.when(absent, F.col("record_hash").isNotNull()).otherwise(~ids.digest_ok("record_hash"))),
+        ("record-path", ~absent & ~ids.relative_path_ok("record_path")), ("asset-ids", F.col("asset_ids").isNull() | (F.size(F.array_distinct("asset_ids")) < F.size("asset_ids")) | F.exists("asset_ids", lambda x: ~F.coalesce(x.rlike("^asset-[a-f0-9]{64}$"), F.lit(False)))),
+    ]
+    out = receipts.select("run_id", _named(rules).alias("rule"))
+    if files is not None:
+        own = receipts.where("record_path is not null").select("run_id", "record_path", "record_hash").join(files.select(F.col("path").alias("record_path"), F.col("record_hash").alias("_now")), "record_path", "left")
+        changed = F.when(F.col("_now").isNull(), "record-missing").when(~F.col("_now").eqNullSafe(F.col("record_hash")), "record-changed")
+        out = out.union(own.select("run_id", changed.alias("rule")).where("rule is not null"))
+    if known_assets is not None:
+        named = receipts.select("run_id", F.explode("asset_ids").alias("asset_id"))
+        out = out.union(named.join(known_assets.select("asset_id").distinct(), "asset_id", "left_anti").select("run_id", F.lit("asset-unknown")).distinct())
+    return out
+
+
+def browser_receipts(rendered: DataFrame) -> DataFrame:
+    """(run_id, file_name, receipt): receipts of rendered pages as JSON, with URLs made safe; a row that would break a rule is an error.
+
+    ``rendered`` has the columns of ``browser_faults``' receipts but for file_name, which comes of the time and the run.
+    """
+    r = rendered.withColumns({"requested_url": urls.sanitize("requested_url"), "final_url": urls.sanitize("final_url"), "file_name": F.concat(text.timestamp_name("created_at"), F.lit("-"), "run_id", F.lit(".json")), "source_profile": F.lit("browser")})
+    bad = browser_faults(r).groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("rule")), ", ").alias("_bad"))
+    fields = sorted(c for c in r.columns if c != "file_name")
+    body = F.to_json(F.struct(F.lit("provenance-browser-run.v1").alias("contract"), *fields), {"ignoreNullFields": "false"})
+    checked = F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("invalid browser receipt: "), "_bad")).cast("string")).otherwise(body)
+    return r.join(bad, "run_id", "left").select("run_id", "file_name", checked.alias("receipt"))

@@ -75,9 +75,9 @@ def reusable(receipts: DataFrame, records: DataFrame, files: DataFrame) -> DataF
     return receipts.join(good, "run_id", "left").select("fingerprint", "run_id", F.coalesce("same", F.lit(True)).alias("reusable"))
 
 
-def waits(requests: DataFrame, host: str, at: str, interval: float) -> DataFrame:
+def waits(requests: DataFrame, host: str, at: str, interval: float, *ties: str) -> DataFrame:
     """Requests with ``wait``: seconds until ``interval`` has passed since the host's last one."""
-    last = F.lag(at).over(Window.partitionBy(host).orderBy(at))
+    last = F.lag(at).over(Window.partitionBy(host).orderBy(at, *ties))
     gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 1e6
     return requests.withColumn("wait", F.coalesce(F.greatest(F.lit(0.0), F.lit(float(interval)) - gap), F.lit(0.0)))
 

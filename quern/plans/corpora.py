@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import ids, text, urls
 from quern.operators import assets as blobs
-from quern.operators import evidence, frontier, policy, receipts, records
+from quern.operators import collect, evidence, frontier, policy, receipts, records, transport
 from quern.operators.shared import written
 from quern.plans.registry import collapsed, query, stripped
 
@@ -171,7 +171,8 @@ def evidence_citations(spark, t):
 
 
 @query(_CHUNKS + f""", asset AS ({_ASSETS}), r AS (SELECT evidence_id AS k, '{{"asset_id":"' || asset_id || '","char_start":' || char_start || ',"char_stop":' || char_stop || ',"content_hash":"' || content_hash || '","evidence_id":"' || evidence_id || '","title":""}}' AS r FROM unit UNION ALL SELECT asset_id, '{{"asset_id":"' || asset_id || '","sha256":"' || sha256 || '"}}' FROM asset),
-h AS (SELECT sha256(string_agg(r, chr(10) ORDER BY k, r)) AS content_hash FROM r)
+l0 AS (SELECT sha256(k) AS p, sha256(sha256(k) || chr(10) || r) AS d FROM r), l1 AS (SELECT left(p, 5) AS p, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM l0 GROUP BY left(p, 5)), l2 AS (SELECT left(p, 2) AS p, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM l1 GROUP BY left(p, 2)),
+h AS (SELECT sha256(string_agg(d, chr(10) ORDER BY d)) AS content_hash FROM l2)
 SELECT (SELECT count(*) FROM asset) AS assets, (SELECT count(*) FROM unit) AS evidence, (SELECT count(*) FROM unit) AS text_units, true AS text_query, content_hash, 'evidence-' || left(content_hash, 20) AS index_id FROM h""")
 def index_manifest(spark, t):
     """Counts, content hash and id of the whole index."""
@@ -179,14 +180,14 @@ def index_manifest(spark, t):
     return evidence.manifest(written(evidence.units(a), "units"), a)
 
 
-@query("SELECT doc_id, rule FROM (SELECT doc_id, 'asset-bytes' AS rule FROM documents WHERE doc_id % 50 = 7 UNION ALL SELECT doc_id, 'content-hash' FROM documents WHERE doc_id % 50 = 9 AND length(regexp_replace(text, '\\s', '', 'g')) > 0 UNION ALL SELECT doc_id, 'evidence-without-asset' FROM documents WHERE doc_id % 50 = 11 AND length(regexp_replace(text, '\\s', '', 'g')) > 0) WHERE doc_id % 97 <> 0")
+@query("SELECT doc_id, rule FROM (SELECT doc_id, 'asset-bytes' AS rule FROM documents WHERE doc_id % 50 = 7 UNION ALL SELECT doc_id, 'content-hash' FROM documents WHERE doc_id % 50 = 9 AND doc_id % 97 <> 0 AND length(regexp_replace(text, '\\s', '', 'g')) > 0 UNION ALL SELECT doc_id, 'evidence-without-asset' FROM documents WHERE doc_id % 50 = 11 AND doc_id % 97 <> 0 AND length(regexp_replace(text, '\\s', '', 'g')) > 0)")
 def verify_index(spark, t):
-    """Rules that an index breaks in which some assets, hashes and references were tampered with, by document."""
-    a = _assets(t).where("doc_id % 97 <> 0")
-    u = written(evidence.units(a), "units")
+    """Rules that an index breaks in which some assets, hashes and references were tampered with, by document. Withdrawn assets have no units."""
+    a = _assets(t)
+    u = written(evidence.units(a.where("tombstoned_at is null")), "units")
     n = F.substring_index("asset_id", "-", -1).cast("long")
     bad = u.withColumn("content_hash", F.when(n % 50 == 9, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")))
-    kept = a.withColumn("sha256", F.when(F.col("doc_id") % 50 == 7, F.sha2("sha256", 256)).otherwise(F.col("sha256"))).where("doc_id % 50 <> 11")
+    kept = a.withColumn("sha256", F.when(F.col("doc_id") % 50 == 7, F.sha2("sha256", 256)).otherwise(F.col("sha256"))).where("doc_id % 50 <> 11 or tombstoned_at is not null")
     v = evidence.violations(bad, kept, a.select("asset_id", "title", "body", "sha256"))
     owner = u.select(F.col("evidence_id").alias("key"), n.alias("doc_id"))
     named = v.where(~F.col("rule").isin("evidence-missing", "evidence-not-derived"))
@@ -194,10 +195,10 @@ def verify_index(spark, t):
     return by_unit.union(named.where("rule = 'asset-bytes'").select(F.substring_index("key", "-", -1).cast("long"), "rule")).distinct()
 
 
-@query(_CHUNKS + " SELECT evidence_id, CASE WHEN doc_id % 10 = 3 THEN 'evidence-missing' ELSE 'evidence-not-derived' END AS rule FROM unit WHERE doc_id % 10 = 3 AND doc_id % 97 <> 0")
+@query(_CHUNKS + " SELECT evidence_id, CASE WHEN doc_id % 97 = 0 THEN 'evidence-not-derived' ELSE 'evidence-missing' END AS rule FROM unit WHERE (doc_id % 97 = 0) <> (doc_id % 10 = 3) AND (doc_id % 97 = 0 OR doc_id % 10 = 3)")
 def verify_rederive(spark, t):
-    """Units that a new derivation finds missing, after those of some documents were left out."""
-    a = _assets(t).where("doc_id % 97 <> 0")
+    """Units that a new derivation finds missing or too many, after those of some documents were left out and those of withdrawn assets kept."""
+    a = _assets(t)
     u = evidence.units(a).where(F.substring_index("asset_id", "-", -1).cast("long") % 10 != 3)
     return evidence.violations(u, a, a.select("asset_id", "title", "body", "sha256")).select(F.col("key").alias("evidence_id"), "rule")
 
@@ -262,10 +263,46 @@ def resume_reusable(spark, t):
 @query("SELECT event_id, coalesce(greatest(0e0, 3600e0 - (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6), 0e0) AS wait FROM events")
 def politeness_wait(spark, t):
     """Seconds that a polite client would have waited before each event of a user."""
-    e = t("events").select("event_id", "user_id", "ts")
-    last = F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - last) / 1e6
-    return e.select("event_id", F.coalesce(F.greatest(F.lit(0.0), F.lit(3600.0) - gap), F.lit(0.0)).alias("wait"))
+    return records.waits(t("events").select("event_id", "user_id", "ts"), "user_id", "ts", 3600.0, "event_id").select("event_id", "wait")
+
+
+@query("""SELECT event_id, attempt, CASE WHEN failed AND NOT final AND attempt < 2 THEN CAST(least(1 << attempt, 5) AS DOUBLE) END AS wait FROM (
+SELECT event_id, event_id % 4 AS attempt, (event_id % 7 = 0 OR event_id % 9 >= 4) AS failed, (event_id % 7 = 0 AND event_id % 2 = 0) OR event_id % 9 IN (4, 5) AS final FROM events)""")
+def retry_decisions(spark, t):
+    """How long each failed attempt waits before it is tried again, by its status or error."""
+    n = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, (200, 204, 301, 304, 404, 400, 408, 429, 503))), (n % 9 + 1).cast("int"))
+    error = F.when(n % 7 == 0, F.when(n % 2 == 0, "too_large").otherwise("reset"))
+    e = t("events").select("event_id", (n % 4).cast("int").alias("attempt"), status.alias("status"), error.alias("error"))
+    return e.select("event_id", "attempt", transport.retry_wait(F.col("attempt"), F.col("status"), F.col("error")).alias("wait"))
+
+
+@query("""SELECT page_id AS request_id, CAST(hop AS INTEGER) AS hop, 'https://' || CASE WHEN moved AND hop >= 2 THEN 'b' ELSE 'a' END || '.example/h' || hop AS url, outcome, NOT (moved AND hop >= 2) AS credentials_sent FROM (
+SELECT page_id, moved, CASE WHEN lost AND n > 2 THEN 1 WHEN moved AND n > 2 THEN 2 WHEN n = 7 THEN 5 ELSE n - 1 END AS hop,
+  CASE WHEN lost AND n > 2 THEN 'no-location' WHEN moved AND n > 2 THEN 'address' WHEN n = 7 THEN 'too-many-redirects' WHEN page_id % 11 = 0 THEN 'declared-too-large' WHEN page_id % 13 = 0 THEN 'too-large' ELSE 'ok' END AS outcome
+FROM (SELECT page_id, page_id % 7 + 1 AS n, page_id % 5 = 0 AS moved, page_id % 17 = 3 AS lost FROM pages))""")
+def redirect_chains(spark, t):
+    """Where chains of redirects end that may be long, lead to a private address, lose their way, or end in too much."""
+    n, k = F.col("page_id") % 7 + 1, F.col("page_id")
+    h = t("pages").select("page_id", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("hop"))
+    name = lambda at: F.concat(F.lit("https://"), F.when((k % 5 == 0) & (at >= 2), "b").otherwise("a"), F.lit(".example/h"), at.cast("string"))
+    last = F.col("hop") == F.col("n") - 1
+    to = F.col("hop") + 1
+    there = F.when(k % 2 == 0, name(to)).otherwise(F.when((k % 5 == 0) & (to == 2), name(to)).otherwise(F.concat(F.lit("/h"), to.cast("string"))))
+    location = F.when(~last & ~((k % 17 == 3) & (F.col("hop") == 1)), there)
+    h = h.select(k.alias("request_id"), F.col("hop").cast("int").alias("hop"), name(F.col("hop")).alias("url"), F.when(last, 200).otherwise(302).alias("status"), location.alias("location"), F.when(k % 11 == 0, 10**7).cast("long").alias("declared_bytes"), F.when(k % 13 == 0, 10**7).otherwise(10).cast("long").alias("body_bytes"))
+    answers = spark.createDataFrame([("a.example", "8.8.4.4"), ("b.example", "8.8.8.8"), ("b.example", "192.168.0.1")], "host string, address string")
+    return transport.chains(h, answers)
+
+
+@query("""SELECT host, list_sort(a) AS addresses, CASE k WHEN 0 THEN 'unresolved' WHEN 2 THEN 'address' WHEN 3 THEN 'invalid-address' END AS fault FROM (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages),
+LATERAL (SELECT length(host) % 4 AS k), LATERAL (SELECT CASE k WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['8.8.8.8', '2606:4700::1'] WHEN 2 THEN ['8.8.8.8', '169.254.0.' || length(host)] ELSE ['8.8.8.8', 'no address'] END AS a)""")
+def host_addresses(spark, t):
+    """Which hosts may be connected to: one answer that isn't public closes a host."""
+    h = t("pages").select(urls.host("url").alias("host")).distinct()
+    k = F.length("host") % 4
+    given = F.when(k == 1, F.array(F.lit("8.8.8.8"), F.lit("2606:4700::1"))).when(k == 2, F.array(F.lit("8.8.8.8"), F.concat(F.lit("169.254.0."), F.length("host").cast("string")))).when(k == 3, F.array(F.lit("8.8.8.8"), F.lit("no address")))
+    return transport.host_faults(h, h.select("host", F.explode(given).alias("address")))
 
 
 @query(f"""WITH r AS (SELECT conv_id, turn, role, {stripped("coalesce(text, '')")} AS b FROM conversations WHERE turn <= 3), g AS (SELECT conv_id, max(b) FILTER (WHERE turn = 0) AS story, string_agg('- **' || role || '**: ' || b, chr(10) ORDER BY turn) FILTER (WHERE turn > 0 AND b <> '' AND b <> '[deleted]') AS said FROM r GROUP BY conv_id)
@@ -275,21 +312,41 @@ def discussion_body(spark, t):
     return records.discussion(t("conversations"), "conv_id", "turn", "role", "text", 3)
 
 
-POLICY = frontier.CrawlPolicy(max_pages=3, max_depth=1, max_frontier_entries=5, max_links_per_page=5, deny_patterns=("*/the*",))
+POLICY = frontier.CrawlPolicy(deny_patterns=("*/the*",))
 _CANON = "(SELECT page_id, u.s || '://' || lower(u.h) || coalesce(nullif(u.p, ''), '/') || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS url, u.s || '://' || lower(u.h) AS origin, html FROM (SELECT *, list_sort(list_filter(string_split(u.q, '&'), lambda x: x <> '' AND NOT list_contains(['ref', 'utm_source'], split_part(x, '=', 1)))) AS k FROM (SELECT *, regexp_extract(url, '^([a-z]+)://([^/?#]+)([^?#]*)\\??([^#]*)', ['s', 'h', 'p', 'q']) AS u FROM pages)))"
-_FRONTIER = f"""p AS (SELECT * FROM {_CANON} QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
-l AS (SELECT url AS seed, origin, unnest(x[1:5]) AS link, generate_subscripts(x[1:5], 1) AS pos FROM (SELECT *, regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]+)"', 1) AS x FROM p)),
-f AS (SELECT seed, origin || link AS url, min(pos) AS pos FROM l WHERE origin || link <> seed GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY pos) AS nth, lower(url) GLOB '*/the*' AS denied FROM f QUALIFY nth <= 4),
-k AS (SELECT *, 1 + count(*) FILTER (WHERE NOT denied) OVER (PARTITION BY seed ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM n),
-entry AS (SELECT url AS seed, url AS canonical_url, 0 AS depth, 'done' AS status, CAST(NULL AS VARCHAR) AS parent_url, CAST(NULL AS VARCHAR) AS skip_reason, 0 AS seq FROM p
-UNION ALL SELECT seed, url, 1, CASE WHEN denied THEN 'skipped' WHEN taken >= 3 THEN 'queued' WHEN url IN (SELECT url FROM p) THEN 'done' ELSE 'failed' END, seed, CASE WHEN denied THEN 'policy_denied' END, nth FROM k)"""
 
 
-def _entries(t):
+def _frontier_sql(robots: bool = False) -> str:
+    """Entries of the bounded crawls; with robots, origins answer by the length of their name."""
+    k = "length(origin) % 4"
+    ask = f"WHEN {k} >= 2 THEN 'robots_unavailable' WHEN {k} = 1 AND starts_with(substr(url, length(origin) + 1), '/a') THEN 'robots_disallowed'" if robots else ""
+    why = f"CASE WHEN lower(url) GLOB '*/the*' THEN 'policy_denied' {ask} END"
+    return f"""p AS (SELECT *, {why} AS why FROM {_CANON} QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
+l AS (SELECT url AS seed, origin, unnest(x[1:500]) AS link, generate_subscripts(x[1:500], 1) AS pos FROM (SELECT *, regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]+)"', 1) AS x FROM p WHERE why IS NULL)),
+f AS (SELECT seed, origin, origin || link AS url, min(pos) AS pos FROM l WHERE origin || link <> seed GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY pos) AS nth, {why} AS why FROM f QUALIFY nth <= 999),
+k AS (SELECT *, 1 + count(*) FILTER (WHERE why IS NULL) OVER (PARTITION BY seed ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM n),
+entry AS (SELECT url AS seed, url AS canonical_url, 0 AS depth, CASE WHEN why IS NULL THEN 'done' ELSE 'skipped' END AS status, CAST(NULL AS VARCHAR) AS parent_url, why AS skip_reason, 0 AS seq FROM p
+UNION ALL SELECT seed, url, 1, CASE WHEN why IS NOT NULL THEN 'skipped' WHEN taken >= 25 THEN 'queued' WHEN url IN (SELECT url FROM p) THEN 'done' ELSE 'failed' END, seed, why, nth FROM k)"""
+
+
+_FRONTIER = _frontier_sql()
+
+
+def _entries(t, robots=None):
     pages = t("pages").select(urls.canonicalize("url").alias("url"), "page_id", text.page_links("html").alias("links"))
-    pages = pages.groupBy("url").agg(F.min_by("links", "page_id").alias("links"))
-    return frontier.frontier(pages.select(F.col("url").alias("seed")), pages, POLICY)
+    pages = written(pages.groupBy("url").agg(F.min_by("links", "page_id").alias("links")), "sites")
+    return frontier.frontier(pages.select(F.col("url").alias("seed")), pages, POLICY, robots)
+
+
+@query(f"WITH {_frontier_sql(True)} SELECT * FROM entry")
+def frontier_robots(spark, t):
+    """The same crawls where origins were asked for their rules: some have none, some close paths, some fail or didn't answer."""
+    o = t("pages").select(urls.origin("url").alias("origin")).distinct()
+    k = F.length("origin") % 4
+    rules = "User-agent: another\nDisallow: /\n\nUser-agent: *\nDisallow: /a # not those\nAllow: /"
+    robots = o.where(k < 3).select("origin", F.when(k == 0, 404).when(k == 1, 200).otherwise(503).alias("status"), F.when(k == 1, rules).alias("body"))
+    return _entries(t, robots).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query(f"WITH {_FRONTIER} SELECT * FROM entry")
@@ -418,3 +475,30 @@ def rights_violations(spark, t):
         F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("local-research"))).alias("permitted_uses"), F.when(k % 13 == 0, "Cookie: a=1").otherwise("fine").alias("notes"), F.lit(" ").alias("approval_id"), F.lit(None).cast("string").alias("account_owner"), (k % 2 == 0).alias("local_only"),
     )
     return d.select("o_orderkey", policy.violations().alias("rules")).where(F.size("rules") > 0)
+
+
+@query("""WITH r AS (SELECT *, substr(sha256(CAST(page_id AS VARCHAR)), 1, 16) AS run_id, page_id % 10 AS k FROM pages)
+SELECT run_id, unnest(CASE k WHEN 1 THEN ['file-name'] WHEN 2 THEN ['requested-url'] WHEN 3 THEN ['status-code', 'request-count'] WHEN 4 THEN ['record-of-outcome'] WHEN 5 THEN ['record-hash', 'record-changed'] WHEN 6 THEN ['asset-ids', 'asset-unknown'] WHEN 7 THEN ['asset-unknown'] WHEN 8 THEN ['record-missing'] WHEN 9 THEN ['created-at', 'source-profile'] ELSE [] END) AS rule FROM r""")
+def verify_browser_receipts(spark, t):
+    """Rules that receipts of rendered pages break, of which nine in ten were spoilt in some way."""
+    k = F.col("page_id") % 10
+    run = F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 16)
+    digest = F.sha2("html", 256)
+    asset = F.concat(F.lit("asset-"), digest)
+    p = t("pages").select(
+        run.alias("run_id"), F.concat(F.lit("20260101T000000.000000Z-"), F.when(k == 1, F.reverse(run)).otherwise(run), F.when(k == 1, ".txt").otherwise(".json")).alias("file_name"), F.when(k == 9, "2026-01-01").otherwise("2026-01-01T00:00:00Z").alias("created_at"),
+        F.when(k == 4, "empty").otherwise("written").alias("outcome"), F.when(k == 2, "https://me:pw@e.example/").otherwise("https://e.example/").alias("requested_url"), F.lit("https://e.example/end").alias("final_url"), F.lit("").alias("title"), F.when(k == 3, 99).otherwise(200).alias("status_code"), F.lit("text/html").alias("content_type"),
+        F.when(k == 3, 0).otherwise(4).alias("request_count"), F.octet_length("html").cast("long").alias("network_bytes"), F.when(k == 9, "http").otherwise("browser").alias("source_profile"), F.lit("page").alias("source_primitive"), F.concat(F.lit("web/"), run, F.lit(".md")).alias("record_path"), F.when(k == 5, "?").otherwise(digest).alias("record_hash"),
+        F.when(k == 6, F.array(F.lit("asset-1"))).when(k == 7, F.array(F.concat(F.lit("asset-"), F.sha2(digest, 256)))).otherwise(F.array(asset)).alias("asset_ids"), k.alias("k"), digest.alias("now"), asset.alias("asset_id"),
+    )
+    return receipts.browser_faults(p, p.where("k <> 8").select(F.col("record_path").alias("path"), F.col("now").alias("record_hash")), p.select("asset_id"))
+
+
+@query(f"""WITH {_FRONTIER}, b AS (SELECT url, octet_length(encode(html)) AS size FROM p)
+SELECT seed, CASE WHEN failed = 0 THEN 'complete' WHEN written > 0 THEN 'partial' ELSE 'failed' END AS status, written, failed, coalesce(total, 0) AS total_bytes, NOT waiting AS frontier_exhausted FROM (
+SELECT seed, count(*) FILTER (WHERE status = 'done') AS written, count(*) FILTER (WHERE status = 'failed') AS failed, bool_or(status = 'queued') AS waiting, CAST(sum(size) FILTER (WHERE status = 'done') AS BIGINT) AS total FROM entry LEFT JOIN b ON canonical_url = url GROUP BY seed)""")
+def collect_sites(spark, t):
+    """A collection run from every page: what its receipt counts."""
+    fetched = t("pages").select(urls.canonicalize("url").alias("url"), "page_id", "html").groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    got = collect.collect_sites(fetched.select(F.col("url").alias("seed")), written(fetched, "fetched"), POLICY)
+    return got.runs.select("seed", "status", "written", "failed", "total_bytes", "frontier_exhausted")

@@ -18,10 +18,10 @@ def _s(c: Column | str) -> Column:
     return F.coalesce(text.col(c), F.lit(""))
 
 
-def _item(df: DataFrame, platform: Column | str, url, title, author, date, body, **extra: Column) -> DataFrame:
+def _item(df: DataFrame, platform: Column | str, url, title, author, date, body, keep: tuple[str, ...] = (), **extra: Column) -> DataFrame:
     kept = F.to_json(F.struct(*(v.alias(k) for k, v in extra.items()))) if extra else F.lit("{}")
     p = F.lit(platform) if isinstance(platform, str) else platform
-    return df.select(p.alias("platform"), _s(url).alias("source_url"), _s(title).alias("title"), _s(author).alias("author"), _s(date).alias("date"), text.strip(_s(body)).alias("body"), kept.alias("extra"))
+    return df.select(p.alias("platform"), _s(url).alias("source_url"), _s(title).alias("title"), _s(author).alias("author"), _s(date).alias("date"), text.strip(_s(body)).alias("body"), kept.alias("extra"), *keep)
 
 
 _STORY = "id bigint, type string, title string, by string, time bigint, url string, text string, score int, descendants int, kids array<bigint>, deleted boolean, dead boolean"
@@ -97,19 +97,33 @@ def producthunt(payloads: DataFrame, limit: int = 20) -> DataFrame:
     return _item(n, "producthunt", urls.sanitize("url"), "name", F.lit(""), F.substring(_s("createdAt"), 1, 10), body, votes=F.col("votesCount"))
 
 
-_RSS = "channel struct<title string, item array<struct<title string, link string, author string, creator string, pubDate string, updated string, description string, encoded string, category array<string>>>>"
+_ITEMS = "array<struct<title string, link string, author string, creator string, pubDate string, date string, updated string, description string, encoded string, category array<string>>>"
+_TEXT = "struct<_type string, _VALUE string>"
+_ENTRY = f"array<struct<title {_TEXT}, link array<struct<_href string, _rel string>>, author array<struct<name string>>, published string, updated string, summary {_TEXT}, content {_TEXT}, category array<struct<_term string>>>>"
+_FEED = f"channel struct<title string, item {_ITEMS}>, item {_ITEMS}, title {_TEXT}, entry {_ENTRY}"
 
 
 def rss(feeds: DataFrame, limit: int = 25) -> DataFrame:
-    """Entries of RSS documents (url, payload); the platform is told by the feed's host."""
-    plain = F.regexp_replace("payload", r"<(/?)(?:content|dc):(encoded|creator)", "<$1$2")
-    d = feeds.select("url", F.from_xml(plain, _RSS).alias("f"))
-    e = d.select("url", F.col("f.channel.title").alias("feed"), F.explode(F.slice(F.coalesce("f.channel.item", F.lit(None)), 1, limit)).alias("e"))
+    """Entries of RSS and Atom documents (url, payload); the platform is told by the feed's host.
+
+    Prefixes of names don't matter. Body: content, else summary or description; author: the entry's, else the feed's title; date: published, else updated.
+    An Atom entry's link is its alternate one, else its first.
+    """
+    d = feeds.select("url", F.from_xml("payload", _FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("f"))
+    full = lambda *cs: F.coalesce(*(F.nullif(text.strip(c), F.lit("")) for c in cs), F.lit(""))
+    none = F.lit(None).cast("string")
+    items = F.transform(F.coalesce("f.channel.item", "f.item"), lambda x: F.struct(
+        x["link"].alias("link"), x["title"].alias("title"), full(x["author"], x["creator"]).alias("author"), full(x["pubDate"], x["date"], x["updated"]).alias("date"), x["encoded"].alias("content"), x["description"].alias("summary"), x["category"].alias("tags")))
+    # names of one text may be given without attributes, which then is the value
+    entries = F.transform("f.entry", lambda x: F.struct(
+        F.coalesce(F.get(F.filter(x["link"], lambda y: F.coalesce(y["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"], F.get(x["link"], 0)["_href"]).alias("link"), x["title"]["_VALUE"].alias("title"), full(F.get(x["author"], 0)["name"]).alias("author"),
+        full(x["published"], x["updated"]).alias("date"), x["content"]["_VALUE"].alias("content"), x["summary"]["_VALUE"].alias("summary"), F.transform(x["category"], lambda y: y["_term"]).alias("tags")))
+    e = d.select("url", F.coalesce("f.channel.title", F.col("f.title._VALUE"), none).alias("feed"), F.explode(F.slice(F.coalesce(items, entries), 1, limit)).alias("e"))
     h = urls.host("url")
     platform = F.when((h == "substack.com") | h.endswith(".substack.com"), "substack").when((h == "medium.com") | h.endswith(".medium.com"), "medium").otherwise("rss")
-    body = text.html_to_text(F.coalesce(F.nullif("e.encoded", F.lit("")), "e.description"))
-    author = F.coalesce(F.nullif("e.author", F.lit("")), F.nullif("e.creator", F.lit("")), "feed")
-    return _item(e, platform, "e.link", "e.title", author, F.coalesce(F.nullif("e.pubDate", F.lit("")), "e.updated"), body, tags=F.filter("e.category", lambda x: x != ""))
+    body = full(text.html_to_text("e.content"), text.html_to_text("e.summary"))
+    author = F.coalesce(F.nullif("e.author", F.lit("")), "feed")
+    return _item(e, platform, "e.link", "e.title", author, "e.date", body, feed=_s("feed"), tags=F.filter(F.coalesce("e.tags", F.array().cast("array<string>")), lambda x: x != ""))
 
 
 _VIDEO = "id string, title string, channel string, upload_date string, webpage_url string, description string, duration int, view_count bigint, channel_id string"
@@ -125,7 +139,20 @@ def youtube(videos: DataFrame) -> DataFrame:
     return out.where("body <> ''")
 
 
-def article(pages: DataFrame, types: tuple[str, ...] = ("text/html", "application/xhtml+xml", "text/plain")) -> DataFrame:
-    """Articles of fetched pages (url, content_type, html): title, else the URL, and the prose."""
+def _meta(names: tuple[str, ...]) -> Column:
+    """The content of the first meta element of one of the names."""
+    tag = F.regexp_extract("html", rf"(?is)<meta\s[^>]*(?:name|property)\s*=\s*[\"']?(?:{'|'.join(names)})[\"'][^>]*>", 0)
+    return text.strip(text.unescape(F.regexp_extract(tag, r"(?is)\scontent\s*=\s*\"([^\"]*)\"", 1)))
+
+
+def article(pages: DataFrame, types: tuple[str, ...] = ("text/html", "application/xhtml+xml", "text/plain"), robots: DataFrame | None = None, agent: str = "quern", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Articles of fetched pages (url, content_type, html): title, else the URL, the prose, and author and date where the page's metadata tell them.
+
+    ``robots`` (origin, status, body) may close pages to an agent; an origin that failed to answer is open. ``keep`` are columns to carry along.
+    """
     p = pages.where(text.content_type_allowed("content_type", types))
-    return _item(p, "web", urls.sanitize("url"), F.coalesce(F.nullif(text.page_title("html"), F.lit("")), urls.sanitize("url")), F.lit(""), F.lit(""), text.html_to_text("html"))
+    if robots is not None:
+        from quern.operators.frontier import CrawlPolicy, robots_verdict
+
+        p = robots_verdict(p.withColumn("canonical_url", F.col("url")), robots, CrawlPolicy(agent=agent, robots_fail_closed=False)).where("robots = 'allowed'")
+    return _item(p, "web", urls.sanitize("url"), F.coalesce(F.nullif(text.page_title("html"), F.lit("")), urls.sanitize("url")), _meta(("author",)), _meta(("article:published_time", "date")), text.html_to_text("html"), keep)

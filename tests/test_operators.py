@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quern.operators import assets, evidence, frontier, policy, receipts, records
-from quern.plans import payloads
 from quern.sources import files
 from quern.streaming import records as streams
 
@@ -80,8 +79,12 @@ def test_frontier_bounds(spark):
 
 def test_frontier_robots_and_ledger(spark):
     seeds = spark.createDataFrame([("https://e.example/",)], "seed string")
-    robots = spark.createDataFrame([("https://e.example", ["/x"])], "origin string, disallowed array<string>")
-    got = frontier.frontier(seeds, site(spark, {"https://e.example/": ["/x/1", "/y"]}), robots=robots)
+    robots = spark.createDataFrame([("https://e.example", 200, "User-agent: *\nDisallow: /x")], "origin string, status int, body string")
+    pages = site(spark, {"https://e.example/": ["/x/1", "/y"]})
+    got = frontier.frontier(seeds, pages, robots=robots)
+    silent = {r.skip_reason for r in frontier.frontier(seeds, pages, robots=robots.where("false")).collect()}
+    open_ = {r.skip_reason for r in frontier.frontier(seeds, pages, frontier.CrawlPolicy(robots_fail_closed=False), robots.where("false")).collect()}
+    assert silent == {"robots_unavailable"} and open_ == {None}
     assert {r.canonical_url[-3:]: r.skip_reason for r in got.collect()}["x/1"] == "robots_disallowed"
     last = {r.canonical_url: r.status for r in frontier.latest_status(frontier.events(got)).collect()}
     assert last == {r.canonical_url: r.status for r in got.collect()}
@@ -229,21 +232,120 @@ def test_manifests(spark, tmp_path):
     assert {tuple(r) for r in faults.collect()} == {("a", "digest"), ("b", "missing")}
 
 
-def test_adapters(spark):
-    q = __spark_entry__.queries()
-    run = lambda n: {r.title: r for r in q[n](spark, "").collect()}
-    hn = run("adapter_hackernews")
-    assert sorted(hn) == ["One", "Two"] and hn["Two"].body == "self & text" and hn["One"].date == "2023-11-14"
-    assert hn["One"].body == "Link: https://a.example/1\n\n## Top comments\n\n- **cy**: first one\n- **di**: third"
-    rd = run("adapter_reddit")
-    assert sorted(rd) == ["Link", "Picture", "Self"] and rd["Self"].body == "hello\n\n## Top comments\n\n- **di**: good"
-    assert rd["Link"].body == "Link: https://b.example/post" and rd["Picture"].body == "" and rd["Picture"].date == ""
-    assert run("adapter_github")["o/r"].body == "A thing\n\nTopics: a, b\n\n## README\n\nRead mé\n\n## Releases\n\n### v1\n\nfirst"
-    assert run("adapter_producthunt")["P"].source_url == "https://ph.example/p?a=1"
-    feed = run("adapter_rss")
-    assert (feed["A"].body, feed["B"].body, feed["B"].author, feed["A"].platform) == ("short", "long", "Feed", "substack")
-    assert run("adapter_youtube")["V"].body == "About it\n\n## Transcript\n\nHello and welcome to all"
-    assert len(q["adapter_youtube"](spark, "").collect()) == 1 and payloads.VTT
+def package(folder, **changes):
+    import hashlib
+    import json
+
+    (folder / "files").mkdir(parents=True)
+    (folder / "files/a.txt").write_text("a plain text")
+    (folder / "files/b.png").write_bytes(b"\x89PNG same")
+    (folder / "files/c.png").write_bytes(b"\x89PNG same")
+    item = lambda n, mime, kind: {"item_id": n[0], "path": f"files/{n}", "sha256": hashlib.sha256((folder / "files" / n).read_bytes()).hexdigest(), "byte_size": (folder / "files" / n).stat().st_size, "mime": mime, "modality": kind, "title": n, "source_url": "https://e.example/?token=x&k=1", "transcript_path": None, "metadata": {}}
+    m = {"contract": "c.v1", "package_id": "p-1", "connector": "files", "created_at": "2026-01-01T00:00:00Z", "source_policy": {"access_class": "owned", "rights_status": "owned", "local_only": True, "permitted_uses": ["x"]}, "items": [item("a.txt", "text/plain", "text"), item("b.png", "image/png", "image"), item("c.png", "image/png", "image")]}
+    for x in m["items"]:
+        x["source_url"] = "https://e.example/?k=1"
+    for k, v in changes.items():
+        at, _, field = k.partition("__")
+        if field:
+            m["items"][int(at[1:])][field] = v
+        else:
+            m[k] = v
+    (folder / "source-package.json").write_text(json.dumps(m))
+    return str(folder / "source-package.json")
+
+
+def test_package_import(spark, tmp_path):
+    import json
+    import os
+
+    got = files.import_package(spark, package(tmp_path / "p"), str(tmp_path / "out")).orderBy("item_id").collect()
+    assert [r.item_id for r in got] == ["a", "b", "c"] and len({r.relative_path for r in got}) == 2 and all((tmp_path / "out" / r.relative_path).read_bytes() for r in got)
+    receipt = json.loads((tmp_path / "out/import-receipt.json").read_text())
+    assert receipt["asset_count"] == 3 and receipt["total_bytes"] == 12 + 2 * 9 and receipt["package_id"] == "p-1"
+    with pytest.raises(ValueError, match="empty"):
+        files.import_package(spark, package(tmp_path / "p2"), str(tmp_path / "out"))
+    bad = {"digest": {"i0__sha256": "0" * 64}, "size": {"i1__byte_size": 1}, "missing file": {"i2__path": "files/none"}, "unsafe": {"i2__path": "../x"}, "item-id-repeats": {"i1__item_id": "a"}, "transcript-missing": {"i0__transcript_path": "files/z"}}
+    for k, (what, change) in enumerate(bad.items()):
+        with pytest.raises(ValueError, match=what):
+            files.import_package(spark, package(tmp_path / f"b{k}", **change), str(tmp_path / f"o{k}"))
+        assert not [x for x in os.listdir(tmp_path) if x.startswith(f"o{k}")]
+    with pytest.raises(Exception, match="secret at"):
+        files.import_package(spark, package(tmp_path / "s", i0__metadata={"api_key": "v"}), str(tmp_path / "os"))
+    with pytest.raises(Exception, match="missing: connector"):
+        files.import_package(spark, package(tmp_path / "m", connector=""), str(tmp_path / "om"))
+    with pytest.raises(ValueError, match="too large"):
+        files.import_package(spark, package(tmp_path / "l"), str(tmp_path / "ol"), max_total_bytes=20)
+
+
+def test_strict_reading(spark, tmp_path):
+    (tmp_path / "x.md").write_text("no front matter")
+    assert files.read_markdown(spark, str(tmp_path)).first()["fault"] == "no-front-matter"
+    with pytest.raises(Exception, match="no-front-matter"):
+        files.read_markdown(spark, str(tmp_path), strict=True).collect()
+    (tmp_path / "m.json").write_text('{"contract":"other","assets":[{"asset_id":"b"}]}')
+    with pytest.raises(Exception, match="unsupported contract"):
+        files.read_manifests(spark, portable=str(tmp_path / "m.json")).collect()
+
+
+def test_index_checks_itself(spark, tmp_path):
+    a = spark.createDataFrame([(f"asset-{k}", "t", f"text number {k} of the index") for k in range(9)], "asset_id string, title string, body string").withColumns({"sha256": F.sha2("body", 256)})
+    u = evidence.units(a)
+    folder = f"file://{tmp_path}/i"
+    evidence.publish(u, a, folder)
+    units, stored, index = evidence.load(spark, folder, check=True)
+    row = evidence.manifest(units, stored)
+    faults = lambda *x: sorted(r["rule"] for r in evidence.index_faults(*x).collect())
+    assert faults(units, stored, index, row) == []
+    assert faults(units.where("asset_id <> 'asset-3'"), stored, index, row) == ["content-hash", "counts", "index-id", "lengths", "postings", "stats", "terms"]
+    index.terms = index.terms.withColumn("df", F.col("df") + F.when(F.col("term") == "index", 1).otherwise(0))
+    assert faults(units, stored, index, row) == ["terms"]
+    generation = next((tmp_path / "i/generations").iterdir())
+    units.withColumn("text", F.lit("x")).withColumn("content_hash", F.sha2("text", 256)).write.mode("overwrite").parquet(f"{tmp_path}/other")
+    import shutil
+
+    shutil.rmtree(generation / "evidence")
+    shutil.copytree(tmp_path / "other", generation / "evidence")
+    with pytest.raises(ValueError, match="another content"):
+        evidence.publish(u, a, folder)
+    with pytest.raises(ValueError, match="content-hash"):
+        evidence.load(spark, folder, check=True)
+
+
+def test_ranks_and_totals_by_ranges(spark):
+    """Ranks and running sums over many ranges are those of one pass; ties, nulls and one key with most rows included."""
+    rows = [(k, float((k * 7919) % 50), "a" if k % 3 else ("b" if k % 2 else None), k % 11) for k in range(400)]
+    d = spark.createDataFrame(rows, "k long, score double, g string, n long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.k: r.position for r in evidence.ranked(d, "score", "k").collect()}
+        totals = {r.k: (r.running, r.over) for r in assets.running_total(d, "k", "n", 300, "g").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {k: p for p, (_, k) in enumerate(sorted((-s, k) for k, s, _, _ in rows), 1)}
+    run = {}
+    for k, _, g, n in rows:
+        run[g] = run.get(g, 0) + n
+        assert totals[k] == (run[g], run[g] > 300)
+
+
+def test_browser_receipts(spark):
+    cols = "run_id string, created_at string, outcome string, requested_url string, final_url string, title string, status_code int, content_type string, request_count int, network_bytes long, source_primitive string, record_path string, record_hash string, asset_ids array<string>"
+    good = ("0" * 16, "2026-01-01T00:00:00Z", "written", "https://e.example/", "https://e.example/?k=1", "T", 200, "text/html", 3, 10, "page", "web/a.md", "a" * 64, ["asset-" + "b" * 64])
+    d = spark.createDataFrame([good], cols)
+    r = receipts.browser_receipts(d).first()
+    assert r.file_name == "20260101T000000.000000Z-" + "0" * 16 + ".json" and '"source_profile":"browser"' in r.receipt
+    with pytest.raises(Exception, match="invalid browser receipt: request-count, status-code"):
+        receipts.browser_receipts(d.withColumns({"status_code": F.lit(99), "request_count": F.lit(0)})).collect()
+
+
+def test_feeds_of_odd_shape(spark):
+    """Other prefixes, no entries, entries without links or dates, and payloads that are no feed."""
+    from quern.sources import adapters
+
+    rdf = '<r:RDF xmlns:r="r"><channel><title>C</title></channel><item><title>I</title><link>https://a.example/i</link><q:creator xmlns:q="d">me</q:creator><q:date xmlns:q="d">2025</q:date></item></r:RDF>'
+    rows = [("https://a.example", "<feed><title>E</title></feed>"), ("https://b.example", rdf), ("https://c.example", "<feed><entry><title>T</title></entry></feed>"), ("https://d.example", "no xml"), ("https://e.example", None)]
+    got = adapters.rss(spark.createDataFrame(rows, "url string, payload string")).collect()
+    assert sorted((r.source_url, r.title, r.author, r.date) for r in got) == [("", "T", "", ""), ("https://a.example/i", "I", "me", "2025")]
 
 
 def test_stream_drops_repeats(spark, tmp_path):
