@@ -7,7 +7,10 @@ numpy passes without a Python object per document or word.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,25 @@ PASS_BYTES = 1 << 20
 _U = np.uint64
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, if it is one whose allocator can be told to give memory back; told so once."""
+    try:
+        c = ctypes.CDLL(ctypes.util.find_library("c"))
+        c.mallopt(-3, 1 << 18)  # arrays of this size have their own pages, which go back when they go
+        c.mallopt(-1, 1 << 20)
+        return c if hasattr(c, "malloc_trim") else None
+    except (OSError, TypeError, AttributeError):
+        return None
+
+
+def frugal() -> None:
+    """Gives memory that arrays no longer use back to the system, now and from now on; elsewhere than with glibc nothing changes."""
+    if (c := _libc()) is not None:
+        c.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits."""
     h = h ^ (h >> _U(30))
@@ -39,11 +61,11 @@ _Q, _QINV = _U(0xD6E8FEB86659FD93), _U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < PASS_BYTES + 1:
         with np.errstate(over="ignore"):
             for k, q in enumerate((_Q, _QINV)):
-                a = np.full(max(n, PASS_BYTES + 1), q, np.uint64)
+                a = np.full(PASS_BYTES + 1, q, np.uint64)
                 a[0] = 1
                 _powers[k] = np.multiply.accumulate(a)
     return _powers[0], _powers[1]
@@ -100,12 +122,30 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span, whatever its place."""
+    """64-bit hash of the bytes of each span, whatever its place. Spans are in order of their starts; some are hashed at a time, and a long one by parts."""
+    out = np.empty(len(starts), np.uint64)
+    q, qinv = _power_tables()
+    i = 0
     with np.errstate(over="ignore"):
-        q, qinv = _power_tables(len(data) + 1)
-        c = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * q[: len(data)], out=c[1:])
-        return mix64((c[ends] - c[starts]) * qinv[starts] + (ends - starts).astype(np.uint64))
+        while i < len(starts):
+            base = int(starts[i])
+            if ends[i] - base > PASS_BYTES:
+                out[i] = _U(0)
+                for at in range(base, int(ends[i]), PASS_BYTES):
+                    part = _BYTE[data[at : min(at + PASS_BYTES, int(ends[i]))]]
+                    out[i] += (part * q[: len(part)]).sum(dtype=np.uint64) * _U(pow(int(_Q), at - base, 1 << 64))
+                i += 1
+                continue
+            j = i + int(np.searchsorted(starts[i:], base + PASS_BYTES // 2, side="right"))
+            over = np.flatnonzero(ends[i:j] - base > PASS_BYTES)
+            j = i + int(over[0]) if len(over) else j
+            own = data[base : int(ends[i:j].max())]
+            c = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(_BYTE[own] * q[: len(own)], out=c[1:])
+            s, e = starts[i:j] - base, ends[i:j] - base
+            out[i:j] = (c[e] - c[s]) * qinv[s]
+            i = j
+        return mix64(out + (ends - starts).astype(np.uint64))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

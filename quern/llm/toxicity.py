@@ -289,6 +289,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     m["word_odds"] = _odds([(w.bucket[word], doc)], toxic[halves[0]])
     m["gram_odds"] = _odds(_gram_parts(w, doc, word), toxic[halves[0]])
 
+    del w, doc, word
     w, y = read(*_arrow([texts[i] for i in halves[1]])), toxic[halves[1]]
     if w is None:
         return m
@@ -386,9 +387,11 @@ def sample(
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> dict:
     """A model of ``sample``, which takes the bounds."""
+    kernel.frugal()
     texts, toxic, labelled = sample(docs, labels, id_col, text_col, **bounds)
     model = train(texts, toxic, labelled=labelled)
-    pa.default_memory_pool().release_unused()  # the sample's
+    del texts
+    kernel.frugal()
     return model
 
 

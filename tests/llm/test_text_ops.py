@@ -32,6 +32,19 @@ def words(n, seed):
     return [f"w{r.randrange(5000)}" for _ in range(n)]
 
 
+def test_span_hashes_do_not_depend_on_place(monkeypatch):
+    """Equal bytes hash alike wherever they are, in spans short and long beside what is hashed at a time."""
+    r = np.random.default_rng(3)
+    data = r.integers(0, 256, 5000).astype(np.uint8)
+    starts = np.sort(r.integers(0, 4000, 60))
+    ends = starts + r.integers(0, 900, 60)
+    want = [int(kernel.span_hashes(data[a:b], np.array([0]), np.array([b - a]))[0]) for a, b in zip(starts, ends)]
+    assert kernel.span_hashes(data, starts, ends).tolist() == want
+    monkeypatch.setattr(kernel, "PASS_BYTES", 128)
+    assert kernel.span_hashes(data, starts, ends).tolist() == want
+    assert len(set(want)) == len({bytes(data[a:b]) for a, b in zip(starts, ends)})
+
+
 # near duplicates
 
 
