@@ -130,6 +130,18 @@ def _text(data: bytes) -> tuple[str, np.ndarray]:
     return text, size
 
 
+def _views(data: bytes) -> Iterator[tuple[str, np.ndarray, int]]:
+    """Texts that the data may be, sizes of their characters in bytes, and the byte at which they begin: UTF-8, and UTF-16 where much of it is zero bytes."""
+    yield *_text(data), 0
+    if data.count(0) * 4 >= len(data) > 3:
+        for at, kind in ((0, "utf-16-le"), (0, "utf-16-be"), (1, "utf-16-le"), (1, "utf-16-be")):
+            text = data[at : len(data) - (len(data) - at) % 2].decode(kind, "replace")
+            c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            size = 2 + 2 * (c >= 0x10000)
+            if int(size.sum()) <= len(data) - at:
+                yield text, size, at
+
+
 class _Zlib:
     """zlib and gzip data with the methods of the other decompressors."""
 
@@ -276,9 +288,10 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             except (binascii.Error, ValueError):
                 continue
             own = places[shift : shift + len(core)]
-            text, size = _text(data)
-            if _MAY.search(text):
-                stop = np.cumsum(size)
+            for text, size, at in _views(data):
+                if not _MAY.search(text):
+                    continue
+                stop = np.cumsum(size) + at
                 begin = layer.begin[own[(stop - size) * 4 // 3]]
                 end = layer.end[own[np.minimum(-(-stop * 4 // 3), len(own)) - 1]]
                 starts = _starts(text, stop - size, [(k - shift) // 4 * 3 for k in cuts if k >= shift and (k - shift) % 4 == 0])
@@ -294,8 +307,10 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                     continue
                 done.add(start)
                 for piece in _pieces(inner):
-                    text = piece.decode("utf-8", "surrogateescape")
-                    if _MAY.search(text):  # any part may stem from any other
+                    for text, _, _ in _views(piece):
+                        if not _MAY.search(text):
+                            continue
+                        # any part may stem from any other
                         part = own[m.start() * 4 // 3 : -(-(len(data) - max(rest[0], 0)) * 4 // 3)]
                         begin = np.broadcast_to(layer.begin[part].min(), len(text))
                         end = np.broadcast_to(layer.end[part].max(), len(text))

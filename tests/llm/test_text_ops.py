@@ -9,13 +9,14 @@ import lzma
 import math
 import os
 import random
+import re
 import urllib.parse
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from quern.llm import fingerprints, kernel, linededup, neardup, secretscan, toxicity
@@ -342,6 +343,15 @@ def test_layers_of_any_characters_are_scanned(inner):
         assert found and all(v == KEY and 4 <= a < b <= len(text) - 4 for _, a, b, _, v in found)
 
 
+@pytest.mark.parametrize("kind", ["utf-16-le", "utf-16-be", "utf-16"])
+def test_wide_texts_are_scanned(kind):
+    for inner in (KEY, f"the key 🙂 is {KEY} here"):
+        for data in (inner.encode(kind), gzip.compress(inner.encode(kind)), b"x" + inner.encode(kind)):
+            text = "see " + b64(data) + " end"
+            found = [x for x in secretscan.scan(text) if x[0] == "aws_access_key"]
+            assert found and all(v == KEY and 4 <= a < b <= len(text) - 4 for _, a, b, _, v in found)
+
+
 @pytest.mark.parametrize("prefix", ["uploads/", "api/v1/", "user-data-", "token-", "secret_", "a/b/c/d/e/", "data", "prefixes", "x", "averylongprefix"])
 def test_runs_glued_to_what_stands_before(prefix):
     for inner in (KEY, f"{KEY} is the key", f"the key is {KEY}"):
@@ -371,6 +381,75 @@ def test_compressed_data_is_read_whole(pack, monkeypatch):
             assert found == [(KEY, True)], n
 
 
+def brute_secrets(text, seen=None):
+    """(kind, secret) by plain recursion: every decoding of the whole text, every base64 offset, every opener."""
+    seen = set() if seen is None else seen
+    if text in seen:
+        return set()
+    seen.add(text)
+    out = {(kind, m["v"] if "v" in rule.groupindex else m[0]) for kind, rule in secretscan._RULES for m in rule.finditer(text)}
+
+    def percent(m):
+        try:
+            return bytes.fromhex(m[0].replace("%", "")).decode()
+        except UnicodeDecodeError:
+            return m[0]
+
+    out |= brute_secrets(re.sub("(?:%[0-9A-Fa-f]{2})+", percent, text), seen)
+    out |= brute_secrets(re.sub(r"\\u([0-9A-Fa-f]{4})|&#([0-9]{1,7});", lambda m: chr(int(m[1], 16) if m[1] else int(m[2])), text), seen)
+    for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        for start in range(len(run) - 16):
+            core = run[start:]
+            core = core[: len(core) - (len(core) % 4 == 1)]
+            data = base64.b64decode(core + "=" * (-len(core) % 4))
+            for opened in (lambda d: d, lambda d: zlib.decompress(d), lambda d: gzip.decompress(d), bz2.decompress, lzma.decompress):
+                try:
+                    inner = opened(data).decode()
+                except (OSError, ValueError, EOFError, zlib.error, lzma.LZMAError):
+                    continue
+                if inner and sum(c.isprintable() or c in "\n\t" for c in inner) > 0.9 * len(inner):
+                    out |= brute_secrets(inner, seen)
+    return out
+
+
+_PLANTED = ["AKIA" + "Q7" * 8, "ghp_" + "aB3" * 12, "xoxb-1234567890-abc", "password: correct.horse.battery", "https://me:hunter2@db.example/x", "Authorization: Bearer abc.def.ghi-0123456789"]
+_WRAPS = {
+    "url": lambda t: "".join(f"%{b:02X}" for b in t.encode()), "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t), "entity": lambda t: "".join(f"&#{ord(c)};" for c in t), "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "gzip": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(), "zlib": lambda t: base64.urlsafe_b64encode(zlib.compress(t.encode())).decode(), "bzip2": lambda t: base64.b64encode(bz2.compress(t.encode())).decode(), "xz": lambda t: base64.b64encode(lzma.compress(t.encode())).decode(),
+}
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(_PLANTED), st.lists(st.sampled_from(sorted(_WRAPS)), max_size=3), st.sampled_from(["", " ", "see ", "x/", "été: "]), st.sampled_from(["", " end", "\n"])), min_size=1, max_size=3))
+def test_scans_against_brute_force(parts):
+    """Whatever plain recursion over all decodings and offsets finds is found, and nothing is that isn't in one of the layers."""
+    text = ""
+    for secret, wraps, before, after in parts:
+        inner = f"note {secret} more"
+        for w in wraps:
+            inner = _WRAPS[w](inner)
+        text += before + inner + after + " "
+    got = {(kind, value) for kind, *_, value in secretscan.scan(text)}
+    want = brute_secrets(text)
+    assert want <= got
+    assert {v for _, v in got} <= {v for _, v in want} | {v for s in _PLANTED for _, v in brute_secrets(s)}
+
+
+def test_data_that_unfolds_to_itself_ends(monkeypatch):
+    """A layer that opens to itself, as a quine of a compressed file does, is taken once."""
+    text = base64.b64encode(gzip.compress(b"filler " * 5)).decode()
+    calls = []
+
+    def again(chunks, rest):
+        rest[0] = 0
+        calls.append(1)
+        return ["gzip"], iter([text.encode()])
+
+    monkeypatch.setattr(secretscan, "unfolded", again)
+    assert secretscan.scan(text) == [] and len(calls) < 10
+
+
 def test_spans_and_cycles():
     text = "é " + urllib.parse.quote(f"x={KEY}") + " z"
     (kind, a, b, path, value), = secretscan.scan(text)

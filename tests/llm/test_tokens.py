@@ -73,6 +73,12 @@ def test_token_table(spark, tmp_path, encoding):
     assert few.count() == 2 and "PushedFilters: [In(doc_id" in plan and "tokens:array" not in plan.split("ReadSchema")[-1]
     with pytest.raises(ValueError):
         tokentable.write_tokens(got, path, "other")
+    odd = docs(spark, [(1, "very long " * 200_000, None), (2, None, "s"), (2, None, "s")])
+    tokentable.write_tokens(tokentable.encoded(odd), path + "2", encoding)
+    long = {r.doc_id: r for r in tokentable.read_tokens(spark, path + "2").collect()}
+    assert long[1].tokens == plain("very long " * 200_000) and long[2].tokens == [] and tokentable.read_tokens(spark, path + "2").count() == 3
+    tokentable.write_tokens(tokentable.encoded(odd.where("false")), path + "3", encoding)
+    assert tokentable.read_tokens(spark, path + "3").count() == 0
 
 
 def brute_pack(lengths, caps, bin_cost):

@@ -171,6 +171,35 @@ def test_pipeline_keeps_one_place_of_rare_passages(spark):
     assert {x.doc_id: x.text for x in got.collect()} == want
 
 
+ODD = [(None, "no id, " + "kept text here " * 9), (1, None), (2, ""), (3, " \n\t\n "), (4, "a plain text of several words that stays"), (4, "a plain text of several words that stays"), (4, "the same id with another text, which stays as well"), (5, "long " * 60000 + "tail"), (6, "?!"), (7, "tie one two three"), (8, "tie one two three"), (-9, "é🙂 " * 50)]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"])
+def test_stages_take_odd_rows(spark, tmp_path, name):
+    """Nulls in all columns, empty, blank and very long texts, ties, repeated rows, and columns whose names an operator uses itself."""
+    own = "doc_id long, text string, lang string, source string, n_chars long, row long, place string, gone string, tokens string, lines_removed string, __gone string, toxic string, score string, stream string"
+    rows = [(i, t, None if k % 3 else "en", None if k % 2 else "s", None, k, *["x"] * 8) for k, (i, t) in enumerate(ODD)]
+    d = spark.createDataFrame(rows, own)
+    spark.createDataFrame([(4, None, 0), (5, None, 1), (None, None, 1), (7, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, d, str(tmp_path)).collect()
+    ids = sorted(str(r.doc_id) for r in got) if name not in ("packing",) else None
+    if name == "toxicity":
+        assert ids == sorted(str(i) for i, _ in ODD) and set(got[0].asDict()) == set(d.columns)
+    elif name == "line_dedup":
+        assert ids == sorted(str(i) for i, _ in ODD)  # nothing occurs often enough
+    elif name == "near_dedup":
+        assert ids == sorted(str(i) for i, _ in ODD if i != 8)
+    elif name == "mixing":
+        whole = "".join(r.text for r in got)
+        assert "tail" in whole and "kept text" in whole and {r.source for r in got} == {None, "s"}
+    else:
+        held = [i for r in got for i in r.doc_ids]
+        assert {None, 3, 4, 5, 6, 7, 8, -9} == set(held) and held.count(4) == 3
+        assert sum(r.n_tokens for r in got) == sum(sum(r.lengths) for r in got)
+    assert stage(spark, d.where("false"), str(tmp_path)).count() == 0
+
+
 def test_pipeline_of_empty_documents(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
