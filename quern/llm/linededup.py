@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import kernel
-from quern.llm.work import new_folder, written
+from quern.llm.work import new_folder, small_batches, written
 
 #: A line that the corpus holds more often than MOST stays only where it first occurs.
 MOST = 1
@@ -158,6 +158,7 @@ def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(h, n, first): how often each line of ``least`` bytes or more, and not blank, occurs, and the smallest id that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.frugal()
         for b in batches:
             data, off, _ = kernel.utf8(b.column(1))
             place = np.asarray(b.column(0))
@@ -238,6 +239,7 @@ def probes(src: DataFrame, shards: int, least: int = 1) -> DataFrame:
     """(shard, h, place, row): the distinct line hashes of each row of (place, text, row), by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.frugal()
         for b in batches:
             data, off, _ = kernel.utf8(b.column(1))
             place, row = np.asarray(b.column(0)), np.asarray(b.column(2))
@@ -311,6 +313,7 @@ def deduplicated(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text
     text stays null, with no lines; an empty one is one line. Texts are
     read whole; an empty table gives none. Two added columns replace any of those names.
     """
+    small_batches(docs.sparkSession)
     row = F.xxhash64(F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)), docs[text_col].cast("string")).alias("row")  # rows alike in both lose the same
     folder, shards = build_index(line_counts(docs, id_col, text_col, least), shard_keys)
     lost = repeated(probes(_source(docs, id_col, text_col, row), shards, least), folder, most)
@@ -321,6 +324,7 @@ def deduplicated(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text
     whole = whole.join(lost, "row", "left").select("text", "gone", "once", *(c for c in whole.columns if c not in ("row", "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.frugal()
         for b in batches:
             data, off, null = kernel.utf8(b.column(0))
             for i, j in kernel.passes(off):

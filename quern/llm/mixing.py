@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import kernel, tokens
-from quern.llm.work import written
+from quern.llm.work import small_batches, written
 
 BLOCK = 1024
 #: Slots of an output shard, and blocks of a stream, about.
@@ -177,6 +177,7 @@ def _filled(
     if weights is not None and not all(0 <= w < float("inf") for w in weights.values()):
         raise ValueError("weights must be finite and not negative")
     spark = docs.sparkSession
+    small_batches(spark)
     vocabulary = tokens.read_vocabulary(vocabulary_path)
     null = F.lit(None).cast("string")
     source, lang = (docs[c].cast("string").alias(c) if c in docs.columns else null.alias(c) for c in ("source", "lang"))
@@ -218,6 +219,7 @@ def _filled(
         types = [*_SLOT_TYPES, pa.string() if as_text else pa.list_(pa.int32())]
         if not len(left) or not len(right):
             return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
+        kernel.frugal()
         t = tokens.tokenizer(vocabulary)
         doc, blob, langs = left["doc_id"].to_pylist(), left["ids"].to_pylist(), left["lang"].to_pylist()
         order = sorted(range(len(doc)), key=lambda k: (doc[k] is None, doc[k] or 0, blob[k], langs[k] or ""))

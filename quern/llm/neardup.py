@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import kernel
-from quern.llm.work import shared_dir, written
+from quern.llm.work import shared_dir, small_batches, written
 
 SHINGLE = 3
 SAMPLES, ROWS = 256, 4
@@ -117,6 +117,7 @@ def _lists(a: np.ndarray) -> pa.Array:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kernel.frugal()
     for batch in batches:
         at, digest, sketch, band = signatures_of(batch.column(1))
         if len(at):
@@ -222,6 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read whole. Other columns aren't read. An empty table has no groups.
     """
     limit = most_differing(threshold)
+    small_batches(docs.sparkSession)
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
     sig = written(src.mapInArrow(_signatures, _SIGNATURE), "signatures")
     # a text is one digest, named by the smallest id that has it; ids with several texts are in several

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import tokens
+from quern.llm import kernel, tokens
+from quern.llm.work import small_batches
 
 #: Permitted sequence lengths, in tokens, and the cost of a sequence beside its length.
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -85,6 +86,7 @@ def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost:
     """
     caps = tuple(sorted(set(capacities)))
     vocabulary = tokens.read_vocabulary(vocabulary_path)
+    small_batches(docs.sparkSession)
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("text is not null and text <> ''")
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
@@ -98,6 +100,7 @@ def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bin_cost:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), blob.cast(pa.binary())], names=["pack_group", "doc_id", "ids"])
 
     def bins(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.frugal()
         tab = pa.Table.from_batches(list(batches)).combine_chunks()
         if not len(tab):
             return

@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.work import small_batches
+
 #: The shortest run taken for base64.
 BASE64_RUN = 20
 #: Compressed data is unfolded and scanned in pieces of so many bytes, each with so many of the one before.
@@ -365,6 +367,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows give theirs each; a null id stays null. Texts are read whole, whatever their length. Other columns aren't read. An empty table has none.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column(1)

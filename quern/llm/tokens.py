@@ -153,6 +153,7 @@ _held: dict[int, Tokenizer] = {}
 
 def tokenizer(vocabulary: bytes) -> Tokenizer:
     """This worker's encoder of the vocabulary, with its table."""
+    kernel.frugal()
     key = hash(vocabulary)
     if key not in _held:
         _held.clear()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import tokens
-from quern.llm.work import new_folder
+from quern.llm.work import new_folder, small_batches
 
 ENCODING = "dictionary"
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 1 << 20, 1000
@@ -35,6 +35,7 @@ def encoded(docs: DataFrame, vocabulary_path: str = tokens.VOCABULARY, id_col: s
     are ordinary text. Other columns aren't read. An empty table gives no rows.
     """
     vocabulary = tokens.read_vocabulary(vocabulary_path)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens.tokenizer(vocabulary)

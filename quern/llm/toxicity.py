@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import kernel
-from quern.llm.work import written
+from quern.llm.work import small_batches, written
 
 WINDOW, STRIDE = 64, 48
 HIDDEN, CHAR_DIM, WORD_DIM = 16, 8, 8
@@ -388,6 +388,7 @@ def sample(
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> dict:
     """A model of ``sample``, which takes the bounds."""
     kernel.frugal()
+    small_batches(docs.sparkSession)
     texts, toxic, labelled = sample(docs, labels, id_col, text_col, **bounds)
     model = train(texts, toxic, labelled=labelled)
     del texts
@@ -410,6 +411,7 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        kernel.frugal()
         for b in batches:
             logit, word = scores(m, b.column(1))
             p = 1 / (1 + np.exp(-np.clip(logit, -60, 60).astype(np.float64)))

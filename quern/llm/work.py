@@ -38,11 +38,8 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size, without running anything."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def parts_for(df: DataFrame, bytes_each: int, most: int = 1 << 16) -> int:
-    """How many parts of ``bytes_each`` the input makes."""
-    return max(1, min(most, -(-size_in_bytes(df) // bytes_each)))
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bounds the Arrow batches that Python gets, in bytes, unless the session has a bound of its own: texts may be long."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) in (None, "67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(setting, str(size))

@@ -99,6 +99,14 @@ def bm25_topk(spark, t):
     return evidence.ranked(_scores(t), "text_score", most=20).withColumnRenamed("evidence_id", "doc_id")
 
 
+@query(f"WITH {_bm25('documents', 'doc_id', 'doc_id')} SELECT doc_id, text_score FROM score")
+def bm25_index(spark, t):
+    """Scores of all documents with a word of the query, from a stored index of which only the postings of those words are read."""
+    x = _index(t)
+    stored = evidence.TextIndex(written(x.postings.repartitionByRange("term").sortWithinPartitions("term"), "postings"), written(x.lengths, "lengths"), x.terms, written(x.stats, "stats"))
+    return evidence.bm25_from_index(stored, QUERY).withColumnRenamed("evidence_id", "doc_id")
+
+
 @query(f"WITH {_bm25('documents', 'doc_id', 'doc_id')} SELECT doc_id, text_score FROM score JOIN ({_ASSETS}) USING (doc_id) WHERE NOT tombstoned AND access_class IN ('public', 'licensed')")
 def bm25_filtered(spark, t):
     """Scores of documents that may be seen; statistics are of all."""
@@ -502,3 +510,20 @@ def collect_sites(spark, t):
     fetched = t("pages").select(urls.canonicalize("url").alias("url"), "page_id", "html").groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
     got = collect.collect_sites(fetched.select(F.col("url").alias("seed")), written(fetched, "fetched"), POLICY)
     return got.runs.select("seed", "status", "written", "failed", "total_bytes", "frontier_exhausted")
+
+
+@query("""SELECT doc_id, unnest(CASE doc_id % 6 WHEN 0 THEN ['$.meta[0].Api-Key:secret_field'] WHEN 1 THEN ['$.meta[0].n:credential_value'] WHEN 2 THEN ['$.meta[0].n.session_id:secret_field', '$.meta[0].n.session_id:secret_assignment'] WHEN 3 THEN ['$.meta[0].n:credential_url'] WHEN 4 THEN ['$.meta[0].n:session_path'] ELSE [] END) AS finding FROM documents""")
+def json_secrets(spark, t):
+    """Places and kinds of secrets in nested metadata."""
+    inner = ('{"Api-Key":1}', '{"n":"Bearer abcdefgh"}', '{"n":{"session_id":"token=x"}}', '{"n":"https://me:pw@inner.example/"}', '{"n":"Local Storage/x"}', '{"n":"a token of thanks"}')
+    doc = F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"), F.lit(',"meta":['), F.get(F.array(*map(F.lit, inner)), (F.col("doc_id") % 6).cast("int")), F.lit("]}"))
+    found = t("documents").select("doc_id", F.explode(text.json_secrets(doc)).alias("f"))
+    return found.select("doc_id", F.concat_ws(":", "f.place", "f.kind").alias("finding"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'no <local-path>: denied' WHEN 1 THEN 'sent token=<REDACTED>, then failed' ELSE left(repeat('x', 2000), 1000) END AS error FROM events")
+def errors_redacted(spark, t):
+    """Error texts as receipts may keep them: without secrets and local paths, and not long."""
+    k = F.col("event_id") % 3
+    raw = F.when(k == 0, F.concat(F.lit("no /home/user"), F.col("event_id").cast("string"), F.lit("/x.txt: denied"))).when(k == 1, F.concat(F.lit("sent token: "), F.col("event_id").cast("string"), F.lit(", then failed"))).otherwise(F.repeat(F.lit("x"), F.lit(2000)))
+    return t("events").select("event_id", text.error_redacted(raw).alias("error"))

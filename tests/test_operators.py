@@ -277,6 +277,22 @@ def test_package_import(spark, tmp_path):
         files.import_package(spark, package(tmp_path / "l"), str(tmp_path / "ol"), max_total_bytes=20)
 
 
+def test_blobs_hashes_and_targets(spark):
+    import hashlib
+
+    from quern.sources import adapters
+
+    sha = hashlib.sha256(b"x").hexdigest()
+    path = f"_assets/sha256/{sha[:2]}/{sha}"
+    rows = [("ok", sha, 1, path), ("size", sha, 2, path), ("path", sha, 1, "../x"), ("of", sha, 1, "y"), ("gone", "0" * 64, 1, "_assets/sha256/00/" + "0" * 64)]
+    got = assets.blob_faults(spark.createDataFrame(rows, "asset_id string, sha256 string, byte_size long, relative_path string"), spark.createDataFrame([(path, b"x")], "path string, content binary"))
+    assert {tuple(r) for r in got.collect()} == {("size", "size"), ("path", "path"), ("of", "path-of-digest"), ("gone", "missing")}
+    d = spark.createDataFrame([("ffffffffffffffff", "r/grain/new/"), ("000000000000000f", "flour"), ("8000000000000000", "/r/"), (None, "a/odd")], "h string, t string")
+    got = d.select(evidence.hash_bits(F.col("h")).alias("n"), adapters.reddit_target("t").alias("x")).collect()
+    assert [r.n for r in got] == [-1, 15, -(2**63), None]
+    assert [tuple(r.x) for r in got] == [("grain", "new"), ("flour", "hot"), ("popular", "hot"), ("a", "hot")]
+
+
 def test_strict_reading(spark, tmp_path):
     (tmp_path / "x.md").write_text("no front matter")
     assert files.read_markdown(spark, str(tmp_path)).first()["fault"] == "no-front-matter"
