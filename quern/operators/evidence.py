@@ -11,14 +11,19 @@ import json
 import operator
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import ids, text
-from quern.operators.shared import ranged, written
+from quern.operators.shared import growing, ranged, small_batches, written
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -42,14 +47,50 @@ class TextIndex:
     stats: DataFrame
 
 
+def _unit_words(u: DataFrame) -> DataFrame:
+    return u.select("evidence_id", text.words(F.concat_ws(" ", F.coalesce("title", F.lit("")), "text")).alias("words"))
+
+
 def text_index(u: DataFrame) -> TextIndex:
     """Index of units (evidence_id, title, text); the title's words count too."""
-    w = u.select("evidence_id", text.words(F.concat_ws(" ", F.coalesce("title", F.lit("")), "text")).alias("words"))
+    w = _unit_words(u)
     postings = w.select("evidence_id", F.explode("words").alias("term")).groupBy("evidence_id", "term").agg(F.count("*").alias("tf"))
     lengths = w.select("evidence_id", F.size("words").cast("long").alias("length"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = lengths.agg(F.count("*").alias("document_count"), F.coalesce(F.round(F.sum("length") / F.count("*"), 10), F.lit(0.0)).alias("average_length"))
-    return TextIndex(postings, lengths, terms, stats)
+    return TextIndex(postings, lengths, terms, stats_of(lengths))
+
+
+def stats_of(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("document_count"), F.coalesce(F.round(F.sum("length") / F.count("*"), 10), F.lit(0.0)).alias("average_length"))
+
+
+def _posting_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(evidence_id, words) batch by batch as (term, ids, counts): one row for each word of a batch."""
+    for b in batches:
+        keys, lists = b.columns
+        n, coded = len(b), lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        pair, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(n, 1) + row, return_counts=True)
+        code, row = np.divmod(pair, max(n, 1))
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        off = pa.array(np.append(first, len(code)), pa.int32())
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), pa.ListArray.from_arrays(off, keys.take(pa.array(row))), pa.ListArray.from_arrays(off, pa.array(tf, pa.int64()))], names=["term", "ids", "counts"])
+
+
+def sorted_postings(u: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``text_index(u).postings`` ordered by term within partitions, each term in one of them, for a stored index.
+
+    A unit's words are counted where the unit lies, so that only lists of units are shuffled and sorted, not postings. Where ``lengths`` show that ids
+    repeat, their counts have to be added up, and postings are grouped as ever.
+    """
+    if not lengths.groupBy("evidence_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return text_index(u).postings.repartition("term").sortWithinPartitions("term")
+    small_batches(u.sparkSession)
+    w = _unit_words(u)
+    schema = T.StructType().add("term", "string").add("ids", T.ArrayType(w.schema["evidence_id"].dataType)).add("counts", T.ArrayType(T.LongType()))
+    blocks = w.mapInArrow(_posting_blocks, schema).repartition("term").sortWithinPartitions("term")
+    rows = blocks.select("term", F.inline(F.arrays_zip("ids", "counts")).alias("evidence_id", "tf"))
+    return rows.select("evidence_id", "term", "tf")
 
 
 def query_terms(query: str) -> list[str]:
@@ -83,11 +124,12 @@ def bm25(u: DataFrame, query: str) -> DataFrame:
 def bm25_from_index(index: TextIndex, query: str) -> DataFrame:
     """``bm25`` over index tables: only the postings of the query's terms are read."""
     terms = query_terms(query)
-    spark = index.postings.sparkSession
-    times = spark.createDataFrame([(t, terms.count(t)) for t in sorted(set(terms))], "term string, times int")
-    hit = index.postings.where(F.col("term").isin(*sorted(set(terms)))).join(F.broadcast(times), "term")  # as many rows as the query has words
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hit.join(F.broadcast(df), "term").join(index.lengths, "evidence_id").crossJoin(F.broadcast(index.stats))
+    times = F.lit(0)
+    for t in sorted(set(terms)):
+        times = F.when(F.col("term") == t, terms.count(t)).otherwise(times)
+    hit = index.postings.where(F.col("term").isin(*sorted(set(terms)))).withColumn("times", times)
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has words
+    rows = hit.join(F.broadcast(df), "term").join(growing(index.lengths), "evidence_id").crossJoin(F.broadcast(index.stats))
     average = F.when(F.col("average_length") == 0, 1.0).otherwise(F.col("average_length"))
     idf = F.log(1 + (F.col("document_count") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average))
@@ -262,7 +304,7 @@ def publish(u: DataFrame, assets: DataFrame, folder: str) -> str:
     if not fs.exists(at):
         index = text_index(u)
         aside = f"{folder}/staging/{uuid.uuid4().hex}"
-        for name, df in (("assets", assets), ("evidence", u), ("postings", index.postings.repartitionByRange("term").sortWithinPartitions("term")), ("lengths", index.lengths), ("terms", index.terms), ("stats", index.stats), ("manifest", row)):
+        for name, df in (("assets", assets), ("evidence", u), ("postings", sorted_postings(u, index.lengths)), ("lengths", index.lengths), ("terms", index.terms), ("stats", index.stats), ("manifest", row)):
             df.write.parquet(f"{aside}/{name}")
         fs.mkdirs(at.getParent())
         _, source = _fs(spark, aside)

@@ -30,3 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` written in ranges of an order, with ``_part``, which rises with it: what is needed for sums and ranks over all rows without one task that sees them all."""
     return written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bounds the Arrow batches that Python gets, in bytes, unless the session has a bound of its own: texts may be long."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) in (None, "67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(setting, str(size))
+
+
+def growing(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast: what grows with the input isn't sent through the driver, however small its compressed form looks to Catalyst."""
+    return df.hint("merge")

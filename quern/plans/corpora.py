@@ -102,8 +102,10 @@ def bm25_topk(spark, t):
 @query(f"WITH {_bm25('documents', 'doc_id', 'doc_id')} SELECT doc_id, text_score FROM score")
 def bm25_index(spark, t):
     """Scores of all documents with a word of the query, from a stored index of which only the postings of those words are read."""
-    x = _index(t)
-    stored = evidence.TextIndex(written(x.postings.repartitionByRange("term").sortWithinPartitions("term"), "postings"), written(x.lengths, "lengths"), x.terms, written(x.stats, "stats"))
+    u = t("documents").select(F.col("doc_id").alias("evidence_id"), F.lit("").alias("title"), "text")
+    lengths = written(evidence.text_index(u).lengths, "lengths")
+    postings = written(evidence.sorted_postings(u, lengths), "postings")
+    stored = evidence.TextIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), written(evidence.stats_of(lengths), "stats"))
     return evidence.bm25_from_index(stored, QUERY).withColumnRenamed("evidence_id", "doc_id")
 
 

@@ -166,6 +166,21 @@ def test_bm25_against_a_loop(spark):
         assert {r.evidence_id: r.text_score for r in got.collect()} == pytest.approx(want)
 
 
+def test_stored_postings_are_grouped_without_shuffling_them(spark, tmp_path):
+    rows = [(f"e{k}", None if k % 7 == 0 else f"T{k % 3}", " ".join(f"w{k * j % 11} the" for j in range(k % 5))) for k in range(60)] + [("null", None, None)]
+    for u in (rows, [*rows, ("e4", "T1", "the w9 w9")]):  # the second time an id repeats
+        u = spark.createDataFrame(u, "evidence_id string, title string, text string").repartition(3)
+        x = evidence.text_index(u)
+        got = evidence.sorted_postings(u, x.lengths)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, x.postings.collect())) and got.schema["tf"].dataType == x.postings.schema["tf"].dataType
+        terms = [[r.term for r in part] for part in got.rdd.glom().collect()]
+        assert all(p == sorted(p) for p in terms) and sum(len(set(p)) for p in terms) == x.terms.count()
+    plan = evidence.sorted_postings(spark.createDataFrame(rows, "evidence_id string, title string, text string"), x.lengths.limit(0))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    empty = spark.createDataFrame([], "evidence_id bigint, title string, text string")
+    assert evidence.sorted_postings(empty, evidence.text_index(empty).lengths).count() == 0
+
+
 def test_citations_filter_fuse_and_cap(spark):
     a = corpus(spark)
     u = evidence.units(a)
