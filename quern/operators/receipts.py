@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import ids, text, urls
+from quern.operators.shared import growing
 
 OUTCOMES = ("written", "duplicate", "empty", "failed")
 STATES = ("queued", "in_progress", "done", "failed", "skipped")
@@ -35,8 +36,10 @@ def site_faults(runs: DataFrame, pages: DataFrame, events: DataFrame, files: Dat
         F.bool_or(~F.coalesce(F.col("status").isin(*STATES), F.lit(False))).alias("bad_state"), F.bool_or(~F.coalesce(F.col("skip_reason").isin(*REASONS), F.lit(True))).alias("bad_reason"), F.bool_or((F.col("status") == "skipped") != F.col("skip_reason").isNotNull()).alias("skip_mixed"),
     )
     shut = events.where("skip_reason = 'robots_unavailable'").select("run_id", F.col("canonical_url").alias("url")).distinct()
-    shut = shut.join(pages.where("outcome = 'failed'").select("run_id", "url"), ["run_id", "url"], "left_anti").select("run_id").distinct().withColumn("shut", F.lit(True))
-    j = runs.join(page, "run_id", "left").join(event, "run_id", "left").join(pending, "run_id", "left").join(shut, "run_id", "left")
+    shut = shut.join(growing(pages.where("outcome = 'failed'").select("run_id", "url")), ["run_id", "url"], "left_anti").select("run_id").distinct().withColumn("shut", F.lit(True))
+    j = growing(runs)
+    for part in (page, event, pending, shut):
+        j = j.join(growing(part), "run_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     expected = F.when(zero("n_failed") == 0, "complete").when(zero("n_paths") > 0, "partial").otherwise("failed")
     rules = [
@@ -49,7 +52,7 @@ def site_faults(runs: DataFrame, pages: DataFrame, events: DataFrame, files: Dat
     ]
     out = j.select("run_id", _named(rules).alias("rule"))
     if files is not None:
-        own = pages.where("path is not null").join(files.select("path", F.col("record_hash").alias("now")), "path", "left")
+        own = pages.where("path is not null").join(growing(files.select("path", F.col("record_hash").alias("now"))), "path", "left")
         changed = F.when(F.col("now").isNull(), "record-missing").when(F.col("now") != F.col("record_hash"), "record-changed")
         out = out.union(own.select("run_id", changed.alias("rule")).where("rule is not null").distinct())
     return out

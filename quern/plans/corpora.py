@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import ids, text, urls
 from quern.operators import assets as blobs
 from quern.operators import collect, evidence, frontier, policy, receipts, records, transport
-from quern.operators.shared import written
+from quern.operators.shared import growing, written
 from quern.plans.registry import collapsed, query, stripped
 
 QUERY = "heat from the token"
@@ -385,7 +385,7 @@ def verify_site_receipts(spark, t):
     fetched = e.where("status in ('done', 'failed')")
     digest = F.when(F.col("status") == "done", F.sha2("canonical_url", 256))
     pages = fetched.select("run_id", F.col("canonical_url").alias("url"), "depth", F.when(F.col("status") == "done", "written").otherwise("failed").alias("outcome"), F.concat(F.lit("web/"), digest, F.lit(".md")).alias("path"), digest.alias("record_hash"))
-    ledger = frontier.events(e.drop("run_id")).withColumn("run_id", F.substring(F.sha2("seed", 256), 1, 16)).join(e.select("run_id", "canonical_url", "skip_reason"), ["run_id", "canonical_url"])
+    ledger = frontier.events(e.drop("run_id")).withColumn("run_id", F.substring(F.sha2("seed", 256), 1, 16)).join(growing(e.select("run_id", "canonical_url", "skip_reason")), ["run_id", "canonical_url"])
     k = F.length("seed") % 4
     n = lambda s: F.count_if(F.col("status") == s)
     runs = e.groupBy("run_id", "seed").agg(n("done").alias("done"), n("failed").alias("failed"), n("queued").alias("waiting"))

@@ -128,6 +128,17 @@ def test_site_receipts(spark):
     assert '"contract":"provenance-site-acquisition.v1"' in receipts.site_receipts(runs, pages, events).first().receipt
 
 
+def test_site_joins_are_never_broadcast(spark):
+    pages = spark.createDataFrame([(f"https://s.example/{k}", [f"/{k + 1}", "/none"]) for k in range(9)], "url string, links array<string>")
+    e = frontier.frontier(pages.select(F.col("url").alias("seed")), pages)
+    page = e.where("status <> 'queued'").select(F.substring(F.sha2("seed", 256), 1, 16).alias("run_id"), F.col("canonical_url").alias("url"), "depth", F.lit("written").alias("outcome"), F.lit("p").alias("path"), F.sha2("seed", 256).alias("record_hash"))
+    ledger = frontier.events(e).select(F.substring(F.sha2("seed", 256), 1, 16).alias("run_id"), "event_index", "canonical_url", "status", F.lit(None).cast("string").alias("skip_reason"))
+    runs = page.groupBy("run_id").agg(F.max("url").alias("seed"), F.lit("2026-01-01T00:00:00Z").alias("created_at"), F.lit("complete").alias("status"), *(F.count("*").alias(c) for c in ("written", "duplicates", "empty", "failed", "fetched_pages", "total_bytes")), F.lit(True).alias("frontier_exhausted"), F.lit(False).alias("page_limit_reached"))
+    for df in (e, receipts.site_faults(runs, page, ledger, page.select("path", "record_hash").distinct())):
+        joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if re.search(r"\bJoin ", line)]
+        assert joins and all("strategy=merge" in line for line in joins)
+
+
 def test_import_faults(spark):
     from quern.functions import ids
 
