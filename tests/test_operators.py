@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import math
 import os
 import re
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quern.operators import assets, evidence, frontier, policy, receipts, records
+from quern.operators import assets, collect, evidence, frontier, policy, receipts, records
 from quern.sources import files
 from quern.streaming import records as streams
 
@@ -139,6 +140,17 @@ def test_site_joins_are_never_broadcast(spark):
         assert joins and all("strategy=merge" in line for line in joins)
 
 
+def test_runs_are_counted_without_reading_pages_again(spark):
+    pages = spark.createDataFrame([("https://s.example/", '<a href="/b">b</a><p>one'), ("https://s.example/b", "<p> </p>")], "url string, html string")
+    existing = spark.createDataFrame([("web", "https://s.example/", hashlib.sha256(b"b one").hexdigest())], "platform string, safe_url string, content_hash string")
+    for old, written, duplicates in ((None, 1, 0), (existing, 0, 1)):
+        got = collect.collect_sites(pages.select(F.col("url").alias("seed")).where("url not like '%b'"), pages, existing=old)
+        assert "html" not in got.runs._jdf.queryExecution().optimizedPlan().toString()
+        r = got.runs.first()
+        assert (r.written, r.duplicates, r.empty, r.failed, r.status, r.total_bytes) == (written, duplicates, 1, 0, "complete", 32)
+        assert sorted((i.url[-1], i.outcome, i.path is None) for i in got.items.collect()) == [("/", "written" if written else "duplicate", False), ("b", "empty", True)]
+
+
 def test_import_faults(spark):
     from quern.functions import ids
 
