@@ -30,6 +30,7 @@ K1, B, RRF = 1.2, 0.75, 60
 
 def units(assets: DataFrame, size: int = 1600, overlap: int = 200) -> DataFrame:
     """(evidence_id, asset_id, title, char_start, char_stop, text, content_hash) of the chunks of assets (asset_id, title, body)."""
+    small_batches(assets.sparkSession)  # else a worker holds 10,000 bodies and their chunks at once
     body = assets.select("asset_id", "title", text.strip("body").alias("body"))  # a column of its own, or each step of the fold would strip again
     c = body.select("asset_id", "title", F.explode(text.chunks("body", size, overlap)).alias("c"))
     c = c.select("asset_id", "title", F.col("c.start").alias("char_start"), F.col("c.stop").alias("char_stop"), F.col("c.text").alias("text")).withColumn("content_hash", F.sha2("text", 256))
@@ -246,15 +247,16 @@ def violations(u: DataFrame, assets: DataFrame, bodies: DataFrame, size: int = 1
     Stored digests are never trusted: assets are held against their bytes, units against
     a new derivation from the bodies.
     """
+    names = ["evidence_id", "asset_id", "char_start", "char_stop", "content_hash"]
+    u = written(u.select(*names, (F.sha2("text", 256) != F.col("content_hash")).alias("_forged")), "held")  # read by five rules, and may be derived itself
     out = [
         u.groupBy("evidence_id").count().where("count > 1").select(F.lit("evidence-id-repeats").alias("rule"), F.col("evidence_id").alias("key")),
         assets.groupBy("asset_id").count().where("count > 1").select(F.lit("asset-id-repeats"), "asset_id"),
         u.join(assets.select("asset_id"), "asset_id", "left_anti").select(F.lit("evidence-without-asset"), "evidence_id"),
-        u.where(F.sha2("text", 256) != F.col("content_hash")).select(F.lit("content-hash"), "evidence_id"),
+        u.where("_forged").select(F.lit("content-hash"), "evidence_id"),
     ]
     real = bodies.select("asset_id", F.col("sha256").alias("real"))
     out.append(assets.join(real, "asset_id", "left").where(~F.col("sha256").eqNullSafe(F.col("real"))).select(F.lit("asset-bytes"), "asset_id"))
-    names = ["evidence_id", "asset_id", "char_start", "char_stop", "content_hash"]
     anew = units(bodies.join(assets.where("tombstoned_at is null").select("asset_id"), "asset_id", "left_semi"), size, overlap).select(names)
     anew = written(anew, "derived")
     out.append(anew.exceptAll(u.select(names)).select(F.lit("evidence-missing"), "evidence_id"))

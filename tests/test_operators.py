@@ -241,6 +241,15 @@ def test_violations_see_a_consistent_forgery(spark):
     assert "evidence-without-asset" in {r.rule for r in evidence.violations(u, live.where("asset_id = 'a1'"), a).collect()}
 
 
+def test_violations_derive_units_once(spark):
+    a = spark.createDataFrame([(f"a{k}", "", "some words " * 300, "d", None) for k in range(4)], "asset_id string, title string, body string, sha256 string, tombstoned_at string")
+    u = evidence.units(a).where("asset_id <> 'a1'").withColumn("content_hash", F.when((F.col("asset_id") == "a2") & (F.col("char_start") == 0), "x").otherwise(F.col("content_hash")))
+    v = evidence.violations(u, a, a.select("asset_id", "title", "body", "sha256"))
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    assert sorted(r.rule for r in v.collect()) == ["content-hash", *["evidence-missing"] * (evidence.units(a.where("asset_id = 'a1'")).count() + 1), "evidence-not-derived"]
+
+
 def test_empty_tables(spark):
     a = corpus(spark).where("false")
     u = evidence.units(a)
